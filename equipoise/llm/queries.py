@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, mixing, packing, shards, token_counts, url_filter
+from . import licences, minhash, mixing, packing, perplexity, shards, token_counts, url_filter
 from .shared import table
 
 
@@ -18,6 +18,15 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
+def op5_minhash_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = perplexity.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "surprise", "low", "high")
+
+
 def op7_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.size("sentence_ids").alias("n_sentences"), *[F.concat_ws(",", c).alias(c) for c in ("sentence_ids", "licences", "unmatched_ids")])
@@ -36,5 +45,5 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.length_histogram(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_sampled_splitters, op4_source_mix, op7_licence_rules, op8_url_filter, op9_min_bin_slack, op10_length_histogram)}
+QUERIES = {f.__name__: f for f in (op2_sampled_splitters, op4_source_mix, op5_minhash_stars, op6_perplexity_bands, op7_licence_rules, op8_url_filter, op9_min_bin_slack, op10_length_histogram)}
 ORACLE_SQL: dict[str, str] = {}

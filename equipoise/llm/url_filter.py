@@ -13,31 +13,20 @@ from pyspark.sql import functions as F
 
 from .shared import ASCII_LOWER, ASCII_UPPER, numbers
 
-#: Small labelled table of host/path examples, blocked and allowed, invented for this library.
-BLOCKED = """
-ads-track.example.com/en/11 ads.example.com/banner track.example.net/pixel adserver.example.org/click adtrack.example.net/c?id
-banner-ads.example.com/img ads-click.example.org/go popads.example.net/p tracker.example.com/t tracking-pixel.example.org/px
-doubleads.example.net/ad adsync.example.com/sync clicktrack.example.org/out ad-track.example.net/fr/4 trackads.example.com/de/2
-casino-win.example.com/bonus poker-bet.example.net/play slots-free.example.org/spin bet-casino.example.com/en betting-odds.example.net/odds
-cheap-pills.example.com/buy pharma-pills.example.org/order viagra-shop.example.net/cart pills-online.example.com/rx replica-watch.example.org/sale
-xxx-video.example.com/watch porn-tube.example.net/video adult-cams.example.org/live sex-chat.example.com/room nude-pics.example.net/gallery
-free-download-crack.example.com/keygen warez-crack.example.org/serial torrent-free.example.net/magnet keygen-serial.example.com/crack crack-soft.example.org/full
-phish-login.example.com/verify account-verify-login.example.net/secure secure-update-bank.example.org/login malware-drop.example.com/payload spam-offer.example.net/win
-win-prize.example.org/claim lottery-claim.example.com/prize cheap-loans.example.net/apply payday-loan.example.org/now click-bait.example.com/shock
-seo-links.example.net/backlink link-farm.example.org/links spam-links.example.com/seo popup-ads.example.net/pop adclick.example.org/redirect
-""".split()
-ALLOWED = """
-tionsh.example.net/en/40367 blog.ththth.example.org/fr/49 www.therou.example.org/fr/47 blog.ththor.example.com/en/45 tionble.example.com/de/12
-m.theres.example.net/en/5109 m.tiontion.example.com/en/156.html therble.example.net/en/12 ththin.example.org/en/366 ththon.example.com/es/37
-news.example.com/politics/2021 science.example.org/physics/paper docs.example.net/guide/install blog.example.com/post/42 wiki.example.org/history/rome
-library.example.net/books/12 museum.example.org/art/painting university.example.com/course/math school.example.net/lessons/3 recipes.example.org/soup
-weather.example.com/today sport.example.net/football/match travel.example.org/city/paris music.example.com/album/7 health.example.net/advice/sleep
-forum.example.org/thread/88 help.example.com/faq support.example.net/articles/5 developer.example.org/api/v1 code.example.com/project/readme
-photos.example.net/nature/tree garden.example.org/plants/rose history.example.com/war/1914 law.example.net/case/12 government.example.org/report
-journal.example.com/issue/4 review.example.net/film/9 poetry.example.org/verse/3 language.example.com/grammar/verb maps.example.net/country/de
-events.example.org/2022/concert hotel.example.com/rooms radio.example.net/show/6 film.example.org/actor/2 economy.example.com/market/daily
-ththan.example.org/de/234 theren.example.org/en/266.html ththble.example.net/es/228/ therha.example.net/en/206 www.ththes.example.net/en/649/
-""".split()
+#: Words of the small labelled table. Its urls are made from them by rule.
+BLOCKED_WORDS = "ads adserver ads-track ad-track adclick banner popup popads tracker tracking pixel casino poker slots betting pills viagra pharma replica porn xxx adult sex nude warez crack keygen torrent phish spam malware lottery prize payday backlink clickbait".split()
+ALLOWED_WORDS = "news science docs blog wiki library museum university school recipes weather sport travel music health forum support developer code photos garden history law journal review poetry language maps events film economy tionsh ththth therou tionble therble theres ththan".split()
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """(url, block): each word as host, as part of a host, and in a path, under several endings."""
+    out = []
+    for block, words in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS)):
+        for i, w in enumerate(words):
+            end, other = ("com", "net", "org")[i % 3], words[(i * 7 + 3) % len(words)]
+            out += [(u, block) for u in (f"http://{w}.example.{end}/en/{i}", f"https://www.{w}.example.net/{other}", f"http://m.{w}.example.com/fr/{i * 91}.html", f"http://{w}-{other}.example.org/", f"https://example.{end}/{w}/{i}", f"https://{other}{i}.example.com/{w}?id={i}")]
+    return out
+
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -117,7 +106,7 @@ def train(labelled: DataFrame, dims: int = 2048, rounds: int = 30, step: float =
 
 
 def default_labels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"http://{u}", 1) for u in BLOCKED] + [(f"http://{u}", 0) for u in ALLOWED], "url string, block int")
+    return spark.createDataFrame(labelled_urls(), "url string, block int")
 
 
 def judge(pages: DataFrame, weights: list[float], rules: list[tuple[str, str, str]] | None = None, threshold: float = 0.5) -> DataFrame:
