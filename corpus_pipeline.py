@@ -1,8 +1,64 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing of sources, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all that the one before has kept; all but the last
+return the columns of documents. Each is written to the shared folder and read again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from equipoise.llm import line_templates, minhash, mixing, packing, perplexity
+from equipoise.llm.shared import WORD, store
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and their language's band of perplexity."""
+    return perplexity.judge(docs.select(*COLUMNS), carry=True).where("kept").select("row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without recurring lines; one of which nothing else is left goes."""
+    out = line_templates.dedup(docs.select(*COLUMNS))
+    left = (F.col("n_dropped") == 0) | F.col("text").rlike(WORD)
+    return out.where(left).select("doc_id", "text", "lang", "source", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the smallest doc_id, once if the row repeats. Rows without a doc_id stay."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    same = Window.partitionBy("doc_id", "__text").orderBy(F.lit(1))
+    named = docs.select(*COLUMNS).where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text"))
+    one = named.withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*COLUMNS)
+    return one.union(docs.select(*COLUMNS).where("doc_id is null"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    text = F.xxhash64("text", "source")
+    keyed = docs.select(*COLUMNS).withColumn("__text", text)
+    taken = mixing.mix(docs, keep=[text.alias("text_key")]).groupBy("doc_id", "text_key").agg(F.max("epochs").alias("epochs")).where("epochs > 0")
+    taken = store(taken.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), "epochs"))
+    met = keyed.join(taken, (keyed["doc_id"].eqNullSafe(taken["__id"])) & (keyed["__text"] == taken["__text"]))
+    return met.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens in as few sequences as can be."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("MinHash near-dedup", near_dedup), ("mixing sources to target weights", mix), ("best-fit packing", pack)]
+
+#: The quality model, the templates, MinHash and the packing aren't expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

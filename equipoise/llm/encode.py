@@ -7,49 +7,67 @@ white space, or by nothing, is encoded whole; both ways give the ids of the toke
 
 from __future__ import annotations
 
+import array
+import json
 import re
-
-import numpy as np
+import sys
 
 _LOOSE = re.compile(r" (?:\s|\u180e|\Z)")
 _made: dict[int, "ChunkEncoder"] = {}
 
+#: Fixed value: the pattern by which byte-level tokenizers of this family cut texts before merging.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _byte_of() -> dict[str, int]:
+    """Which byte each printable stand-in of a byte-level vocabulary means: itself where printable, else counted up from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
 
 class ChunkEncoder:
-    """Encode to bytes of little-endian unsigned 32-bit ids. `most` bounds the memory of remembered chunks, not what is encoded."""
+    """Encode to bytes of little-endian unsigned 32-bit ids.
+
+    The merges come from the tokenizer file: in a byte-level vocabulary ids follow the order of merges.
+    Strings of special tokens are ordinary text. `most` bounds the memory of remembered chunks, not what is encoded.
+    """
 
-    def __init__(self, tokenizer_json: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, tokenizer_json: str, most: int = 500_000):
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
-        self.most, self.known = most, {}
+        told, byte = json.loads(tokenizer_json), _byte_of()
+        special = {t["content"] for t in told["added_tokens"]}
+        ranks = {bytes(byte[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in special}
+        core = tiktoken.Encoding("from-file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._plain = plain = lambda text: _little(core.encode_ordinary(text))
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        class Known(dict):
+            def __missing__(self, chunk: str) -> bytes:
+                ids = self[chunk] = plain(chunk)
+                return ids
+
+        self.most, self.known = most, Known()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _LOOSE.search(text):
-            return self._plain([text])[0]
-        chunks = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [c if i == 0 else " " + c for i, c in enumerate(text.split(" "))]
-        known = self.known
-        found = list(map(known.get, chunks))
-        if None in found:
-            if len(known) > self.most:
-                known.clear()
-            new = list({c for c, f in zip(chunks, found, strict=True) if f is None})
-            known.update(zip(new, self._plain(new), strict=True))
-            found = [known[c] if f is None else f for c, f in zip(chunks, found, strict=True)]
-        return b"".join(found)
+        if "\0" in text or _LOOSE.search(text):
+            return self._plain(text)
+        if len(self.known) > self.most:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, text.replace(" ", "\0 ").split("\0")))
+
+
+def _little(ids: list[int]) -> bytes:
+    out = array.array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def encoder(tokenizer_json: str) -> ChunkEncoder:
     """One encoder for each worker process and tokenizer."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     key = hash(tokenizer_json)
     if key not in _made:
         _made[key] = ChunkEncoder(tokenizer_json)

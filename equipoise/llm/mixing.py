@@ -36,7 +36,7 @@ def targets(sizes: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (
     return found.select("source", "source_size", F.coalesce(F.least(F.col("level") * F.col("w"), F.col("cap")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 2.0, seed: int = 17, size: Column | None = None, least_buckets: int = 256, bucket_rows: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 2.0, seed: int = 17, size: Column | None = None, keep: list[Column] | None = None, least_buckets: int = 256, bucket_rows: int = 100_000) -> DataFrame:
     """doc_id, size, source_size, target, taken and epochs (times that the mix takes the document) for all documents.
 
     Size: words of the text unless given (null: 0). A document goes whole: each source's documents are
@@ -44,12 +44,12 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0,
     words taken are half a document from the target at most. The hash is of seed, doc_id and text, so
     reruns agree, and rows that repeat both are neighbours. A source is spread over hash ranges, however
     large it is. Null sources are one source, a null doc_id is an id like others, an empty table gives
-    no rows; other columns are not read.
+    no rows; other columns are not read but those that `keep` asks for.
     """
     size = word_count(F.col("text").cast("string")) if size is None else size
     key = unit(F.lit(seed), "doc_id", "text")
     source = F.col("source").cast("string")
-    rows = store(docs.select(F.col("doc_id"), F.coalesce(source, F.lit("")).alias("name"), source.isNull().alias("none"), size.alias("size"), key.alias("key")))
+    rows = store(docs.select(F.col("doc_id"), F.coalesce(source, F.lit("")).alias("name"), source.isNull().alias("none"), size.alias("size"), key.alias("key"), *[F.struct(*(keep or [F.lit(0).alias("none")])).alias("kept")]))
     n = buckets(rows.count(), least_buckets, bucket_rows)
     named = F.when(~F.col("none"), F.col("name")).alias("source")
     goals = targets(rows.groupBy("none", "name").agg(F.sum("size").alias("source_size")).select(named, "source_size"), share, weights, most)
@@ -61,4 +61,4 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5.0,
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - whole * F.col("source_size")
     epochs = whole + F.when(F.col("size") == 0, 0).when(F.col("before") + F.col("size") / 2 <= rest, 1).otherwise(0)
-    return met.select("doc_id", named, "size", "source_size", "target", "key", epochs.cast("long").alias("epochs")).withColumn("taken", F.col("epochs") * F.col("size"))
+    return met.select("doc_id", named, "size", "source_size", "target", "key", epochs.cast("long").alias("epochs"), *(["kept.*"] if keep else [])).withColumn("taken", F.col("epochs") * F.col("size"))

@@ -141,10 +141,10 @@ def _blocks(probs: DataFrame, most_rows: int) -> list:
     return out
 
 
-def measure(docs: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
-    """Stored doc_id, lang, the base counts and surprise (mean negative log-probability of a character; null without text) for all documents."""
+def measure(docs: DataFrame, most_rows: int = 2_000_000, carry: bool = False) -> DataFrame:
+    """Stored doc_id, lang, the base counts and surprise (mean negative log-probability of a character; null without text) for all documents; the whole row as `row` if asked to carry it."""
     blocks = _blocks(model(count_grams(docs)), most_rows)
-    names = ["doc_id", "lang", *BASE, "surprise"]
+    names = ["doc_id", "lang", *BASE, "surprise"] + ["row"] * carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = blocks[0].value if len(blocks) == 1 else None
@@ -165,10 +165,12 @@ def measure(docs: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
                     b.__dict__.pop("_value", None)  # the worker reads it from its disk again for the next batch
             base = [base_counts(t.as_py()) for t in texts]
             score = [-s / len(t.as_py()) if t.as_py() else None for s, t in zip(sums, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([x[k] for x in base], pa.int64()) for k in range(5)], pa.array(score, pa.float64())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([x[k] for x in base], pa.int64()) for k in range(5)], pa.array(score, pa.float64()), *[batch.column(3)] * carry], names)
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    return store(docs.select(F.col("doc_id").cast("long"), lang.alias("lang"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in BASE) + ", surprise double"))
+    rows = docs.select(F.col("doc_id").cast("long"), lang.alias("lang"), F.col("text").cast("string"), *[F.struct("*").alias("row")] * carry)
+    kind = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in BASE) + ", surprise double"
+    return store(rows.mapInArrow(run, kind + (f", row {rows.schema['row'].dataType.simpleString()}" if carry else "")))
 
 
 def _middle(bins: DataFrame) -> DataFrame:
@@ -195,15 +197,15 @@ def base_failed(least_words: int = LEAST_WORDS, most_repeat: int = MOST_REPEAT)
     return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))
 
 
-def judge(docs: DataFrame, below: float = 12.0, above: float = 35.0, least: float = 0.02, most_langs: int = 10_000) -> DataFrame:
-    """doc_id, lang, the base counts, base_failed, surprise, low, high, kept for all documents.
+def judge(docs: DataFrame, below: float = 12.0, above: float = 35.0, least: float = 0.02, most_langs: int = 10_000, carry: bool = False) -> DataFrame:
+    """doc_id, lang, the base counts, base_failed, surprise, low, high, kept for all documents (and `row`, if asked to carry it).
 
     A document is kept if it doesn't fail the base rules and its surprise lies within its language's
     band, which is taken over the documents that pass the base rules. A null or empty text has no words and
     fails; a null lang is a language of its own ('' in the result). Repeated rows and null ids are rows like
     others; an empty table gives no rows; other columns are not read.
     """
-    seen = measure(docs).withColumn("base_failed", base_failed())
+    seen = measure(docs, carry=carry).withColumn("base_failed", base_failed())
     limits = store(bands(seen.where("not base_failed"), below, above, least))
     limits = F.broadcast(limits) if limits.count() <= most_langs else limits
     kept = ~F.col("base_failed") & F.coalesce(F.col("surprise").between(F.col("low"), F.col("high")), F.lit(True))

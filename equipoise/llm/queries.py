@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, minhash, mixing, packing, perplexity, shards, token_counts, url_filter
+from . import grid_order, licences, line_templates, minhash, mixing, packing, perplexity, shards, token_counts, url_filter
 from .shared import table
 
 
+def op1_grid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_order.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.shard(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
@@ -45,5 +53,5 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.length_histogram(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_sampled_splitters, op4_source_mix, op5_minhash_stars, op6_perplexity_bands, op7_licence_rules, op8_url_filter, op9_min_bin_slack, op10_length_histogram)}
+QUERIES = {f.__name__: f for f in (op1_grid_order, op2_sampled_splitters, op3_line_templates, op4_source_mix, op5_minhash_stars, op6_perplexity_bands, op7_licence_rules, op8_url_filter, op9_min_bin_slack, op10_length_histogram)}
 ORACLE_SQL: dict[str, str] = {}
