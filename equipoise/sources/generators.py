@@ -11,7 +11,7 @@ def random_graph(spark: SparkSession, n: int, m: int, seed: int = 1, graph_id: s
     if m > n * (n - 1) // 2:
         raise ValueError(f"{n} nodes have {n * (n - 1) // 2} pairs at most")
     if m * 3 > n * (n - 1) // 2:  # dense: number all pairs and take m by hash
-        pairs = spark.range(n).select(F.col("id").alias("src")).select("src", F.explode(F.sequence(F.col("src") + 1, F.lit(n - 1).cast("long"))).alias("dst")).where("src < dst")
+        pairs = spark.range(n).select(F.col("id").alias("src")).select("src", F.explode(F.sequence(F.col("src") + 1, F.lit(n - 1).cast("long"))).alias("dst")).where(f"src < dst and dst < {n}")
     else:
         draw = lambda k: F.floor(F.rand(seed + k) * n).cast("long")
         pairs = spark.range(2 * m + 100).select(draw(0).alias("a"), draw(1).alias("b")).where("a != b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
