@@ -99,7 +99,8 @@ def _discounts(level: DataFrame) -> DataFrame:
 def _smooth(level: DataFrame, lower: DataFrame | None, order: int) -> DataFrame:
     """(lang, gram, p) of one order: discounted counts plus what was taken, spread by the order below."""
     taken = F.when(F.col("n") == 0, F.lit(0.0)).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = level.join(_discounts(level), "lang").select("lang", "gram", "n", taken.alias("d"), F.shiftrightunsigned("gram", 16).alias("context"))
+    given = store(_discounts(level))  # a row for each language: stored, so the planner sees its size and carries it to the rows
+    rows = level.join(given, "lang").select("lang", "gram", "n", taken.alias("d"), F.shiftrightunsigned("gram", 16).alias("context"))
     sums = rows.groupBy("lang", "context").agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("mass"), F.count(F.lit(1)).alias("kinds"))
     p = rows.join(sums, ["lang", "context"])
     own, back = F.coalesce(F.try_divide(F.col("n") - F.col("d"), F.col("total")), F.lit(0.0)), F.coalesce(F.try_divide("mass", "total"), F.lit(1.0))

@@ -2,53 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import drop, shared_folder, store  # noqa: F401  for the operators beside this module
+
 #: A word, as every contract of this package counts it.
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_local: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, as in tests, gets one of its own where that is unset."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="equipoise-"))
-        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-    return f"file://{_local[0]}"
-
-
-def store(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, and a lost executor costs no recomputation."""
-    path = f"{shared_folder(df.sparkSession)}/equipoise-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def drop(df: DataFrame | None) -> None:
-    """Delete what store() wrote, once nothing that is still to be computed reads it."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -115,23 +78,31 @@ for _i in range(1, 64):
     _POWERS[_i] = np.uint64((int(_POWERS[_i - 1]) * _BASE) % (1 << 64))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of UTF-8 text, in order; words are split at the ASCII white space of WORD."""
-    raw = np.frombuffer(text, dtype=np.uint8)
-    if not len(raw):
-        return np.empty(0, dtype=np.uint64)
+def split_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of UTF-8 bytes: which belong to words, and where words start and end; words are split at the ASCII white space of WORD."""
     word = (raw != 32) & ((raw < 9) | (raw > 13))
     edges = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
+    return word, edges[::2], edges[1::2]
+
+
+def hash_words(raw: np.ndarray, word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word found by split_words."""
+    if not len(lengths):
         return np.empty(0, dtype=np.uint64)
-    lengths = ends - starts
-    at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    first = np.cumsum(lengths) - lengths
+    at = np.arange(lengths.sum()) - np.repeat(first, lengths)
     chars = raw[word].astype(np.uint64) + np.uint64(1)
     with np.errstate(over="ignore"):
         # a long word starts a new power every 64 bytes, salted by the block it is in
         value = chars * _POWERS[at & 63] * (np.uint64(2) * (at >> 6).astype(np.uint64) + np.uint64(1))
-        return mix(np.add.reduceat(value, np.cumsum(lengths) - lengths) ^ (lengths.astype(np.uint64) << np.uint64(40)))
+        return mix(np.add.reduceat(value, first) ^ (lengths.astype(np.uint64) << np.uint64(40)))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of UTF-8 text, in order."""
+    raw = np.frombuffer(text, dtype=np.uint8)
+    word, starts, ends = split_words(raw)
+    return hash_words(raw, word, ends - starts)
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
