@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_stored: dict[str, None] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,16 +29,27 @@ def shared_folder(spark: SparkSession) -> str:
 def store(df: DataFrame) -> DataFrame:
     """Write df and read it again: cuts the lineage, and a lost executor costs no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/equipoise-{uuid.uuid4().hex}"
+    _stored[path] = None
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    _stored.pop(path, None)
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete what store() wrote, once nothing that is still to be computed reads it."""
     path = getattr(df, "_stored_at", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this process has stored; results that still read it must have been written before."""
+    for path in list(_stored):
+        _delete(spark, path)
