@@ -26,9 +26,12 @@ def trade_edges(spark: SparkSession, sf_dir: str, by_year: bool = False) -> Data
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
     who = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("src"))
     whom = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("dst"))
-    met = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(who, F.col("o_custkey") == F.col("c_custkey")).join(whom, F.col("l_suppkey") == F.col("s_suppkey")).where("src != dst")
-    graph = F.col("year").cast("string") if by_year else F.lit("trade")
-    return met.groupBy(graph.alias("graph_id"), "src", "dst").agg(F.sum("w").alias("weight")).where("weight != 0")
+    graph = (F.col("year").cast("string") if by_year else F.lit("trade")).alias("graph_id")
+    # items are shuffled once, to their orders' nations; what meets the suppliers is a sum for each nation and supplier
+    owners = orders.join(who, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", graph, "src")
+    sold = items.join(owners, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("graph_id", "src", "l_suppkey").agg(F.sum("w").alias("w"))
+    met = sold.join(whom, F.col("l_suppkey") == F.col("s_suppkey")).where("src != dst")
+    return met.groupBy("graph_id", "src", "dst").agg(F.sum("w").alias("weight")).where("weight != 0")
 
 
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +47,8 @@ def trade(spark: SparkSession, sf_dir: str, weighted: bool = False, **kw) -> Sig
 def yearly_trade(spark: SparkSession, sf_dir: str, **kw) -> SignedGraph:
     edges = trade_edges(spark, sf_dir, True)
     years = table(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("string").alias("graph_id")).distinct()
-    nodes = years.join(F.broadcast(nations(spark, sf_dir)))  # 25 rows
+    ids = [r["id"] for r in nations(spark, sf_dir).select("id").collect()]  # 25 rows
+    nodes = years.select("graph_id", F.explode(F.array(*[F.lit(i).cast("long") for i in ids])).alias("id"))
     return SignedGraph(edges, nodes, directed=True, weighted=False, **({"m": None} | kw))
 
 
