@@ -10,8 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever they run: once for each application, a zip of it is sent along."""
+    """Let Python workers import this package wherever they run, and keep their batches small: once for each application, a zip of it is sent along."""
     context = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= 1000:
+        spark.conf.set(rows, "1000")  # texts are long; a batch is what a worker holds
     if getattr(context, "_equipoise_shipped", False):
         return
     top = Path(__file__).resolve().parent
