@@ -33,7 +33,7 @@ class ChunkEncoder:
     Strings of special tokens are ordinary text. `most` bounds the memory of remembered chunks, not what is encoded.
     """
 
-    def __init__(self, tokenizer_json: str, most: int = 500_000):
+    def __init__(self, tokenizer_json: str, most: int = 250_000):
         import tiktoken
 
         told, byte = json.loads(tokenizer_json), _byte_of()

@@ -68,19 +68,27 @@ def grams(text: str) -> np.ndarray:
     return out
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """Stored (lang, gram, n) over all texts, n being its count in reference text; lang '' for null. A task sends distinct grams of each batch, not characters."""
+def count_grams(docs: DataFrame, most_chars: int = 2_000_000) -> DataFrame:
+    """Stored (lang, gram, n) over all texts, n being its count in reference text; lang '' for null. A task sends the distinct grams of every `most_chars` characters, not characters, and holds no more."""
     ship_package(docs.sparkSession)
 
+    def counted(by: dict[tuple[str, bool], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for (lang, counts), found in by.items():
+            key, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64) * counts)], ["lang", "gram", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[tuple[str, bool], list[np.ndarray]] = {}
+        held = 0
         for batch in batches:
-            by: dict[tuple[str, bool], list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if t := text.as_py():
                     by.setdefault((lang, is_reference(t)), []).append(grams(t))
-            for (lang, counted), found in by.items():
-                key, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64) * counted)], ["lang", "gram", "n"])
+                    held += len(t)
+                if held > most_chars:
+                    yield from counted(by)
+                    by, held = {}, 0
+        yield from counted(by)
 
     each = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string")).mapInArrow(run, "lang string, gram long, n long")
     return store(each.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
@@ -166,7 +174,7 @@ def measure(docs: DataFrame, most_rows: int = 2_000_000, carry: bool = False) ->
                     b.__dict__.pop("_value", None)  # the worker reads it from its disk again for the next batch
             base = [base_counts(t.as_py()) for t in texts]
             score = [-s / len(t.as_py()) if t.as_py() else None for s, t in zip(sums, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([x[k] for x in base], pa.int64()) for k in range(5)], pa.array(score, pa.float64()), *[batch.column(3)] * carry], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([x[k] for x in base], pa.int64()) for k in range(5)], pa.array(score, pa.float64()), *batch.columns[3:]], names)
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), lang.alias("lang"), F.col("text").cast("string"), *[F.struct("*").alias("row")] * carry)
