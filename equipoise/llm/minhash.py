@@ -1,9 +1,10 @@
 """MinHash near-dedup: universal hash minima, banding, signature verification, exact confirmation, components by stars.
 
 A document's vertex is the 64-bit fingerprint of its shingle set, so exact copies are one vertex from
-the start. In each bucket of a band every member is compared with one hub, which is linear in the bucket;
+the start. In each bucket of a band every member is compared with one hub, the one that shares most buckets with others, which is linear in the bucket;
 buckets whose members are all connected are done. Those that aren't get another hub, and at last all pairs
-of members that are still in different components, so no candidate pair goes without a verdict.
+of members that are still in different components, so no candidate pair goes without a verdict. Those
+pairs are compared within the join by two bits of each minimum, so the join puts out likely pairs only.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -42,19 +43,19 @@ def fingerprint(keys: np.ndarray) -> int:
 
 
 def sketch(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, node (fingerprint), bands (a hash for each band, its number within), signature (16 bits of each minimum)."""
+    """doc_id, n_shingles, node (fingerprint), bands (a hash for each band, its number within), signature (16 bits of each minimum), bits (two bits of each, packed)."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = multipliers(bands * rows, seed)
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
-            n, node, buckets, signs = [], [], [], []
+            n, node, buckets, signs, bits = [], [], [], [], []
             for text in batch.column(1):
                 keys = shingles(text.as_py(), width)
                 n.append(len(keys))
                 if not len(keys):
-                    node.append(None), buckets.append(None), signs.append(None)
+                    node.append(None), buckets.append(None), signs.append(None), bits.append(None)
                     continue
                 low = minima(keys, a, b)
                 node.append(fingerprint(keys))
@@ -64,9 +65,21 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> Dat
                         at = mix(at * np.uint64(0x9E3779B97F4A7C15) + r)
                 buckets.append(at.astype(np.int64))
                 signs.append(low.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "node", "bands", "signature"])
+                two = np.zeros(-(-len(low) // 32) * 32, dtype=np.uint64)
+                two[: len(low)] = low & np.uint64(3)
+                bits.append((two.reshape(-1, 32) << (np.uint64(2) * np.arange(32, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array(signs, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "bands", "signature", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>, signature binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>, signature binary, bits array<long>")
+
+
+def _unlike(words: int) -> Column:
+    """How many minima differ in their two bits, of packed arrays x and y of so many words each."""
+    total = F.lit(0)
+    for i in range(words):
+        off = F.get("x", i).bitwiseXOR(F.get("y", i))
+        total = total + F.bit_count(off.bitwiseOR(F.shiftrightunsigned(off, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return total
 
 
 def _estimated(pairs: DataFrame, least: float) -> DataFrame:
@@ -124,10 +137,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     named = seen.where("node is not null and doc_id is not null")
     nodes = store(named.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n")))
     spread = named.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("n"))
-    shared = store(spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top"))
-    members = store(spread.join(shared.select("bucket", "hub"), "bucket").select("bucket", "node", "n", "hub").distinct())
+    shared = store(spread.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top").select("bucket"))
+    found = store(spread.join(shared, "bucket").select("bucket", "node", "n").distinct())
+    sizes = store(found.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")))
+    weight = store(found.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight")))
+    members = store(found.join(weight, "node").select("bucket", "node", "n", "weight"))
+    for x in (shared, found, sizes, weight):
+        drop(x)
     likely = F.least("n", "m") * den >= F.greatest("n", "m") * num
-    hubs = nodes.select(F.col("node").alias("hub"), F.col("n").alias("m"))
     texts = docs.select(F.col("doc_id").cast("long").alias("first"), F.col("text").cast("string").alias("text"))
     place = lambda x: nodes.join(x, "node").select("node", "first")
 
@@ -146,28 +163,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
         drop(likely), drop(need), drop(whole)
         return links
 
-    links = test(members.where("node != hub").join(hubs, "hub").where(likely).select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    roots = components(links)
-    for turn in range(hub_rounds + 1):
-        placed = members.select("bucket", "node", "n").join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-        placed = store(placed)
-        chosen = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("hub"), F.col("n").alias("m"), F.col("root").alias("hub_root")))
-        divided = store(placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), chosen.alias("c")).where("low < high").select("bucket", "c.hub", "c.m", "c.hub_root"))
+    links = roots = None
+    for turn in range(hub_rounds + 2):
+        root = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = store(root.select("bucket", "node", "n", "weight", "root"))
+        # the member that shares most with others is the likely centre; then that of another component, then any
+        order = [F.xxhash64("node", F.lit(turn)).alias("o")] if turn == hub_rounds and turn > 1 else []
+        best = F.max(F.struct(*order, "weight", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("root").alias("hub_root")))
+        divided = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), best.alias("c")).where("low < high").select("bucket", "c.hub", "c.m", "c.hub_root")
+        divided = store(divided)
         if divided.isEmpty():
             break
-        if turn < hub_rounds:
+        if turn == 1:
+            away = placed.join(divided.select("bucket", "hub_root"), "bucket").where("root != hub_root").drop("hub_root")
+            divided = store(away.groupBy("bucket").agg(best.alias("c")).select("bucket", "c.hub", "c.m", "c.hub_root"))
+        if turn <= hub_rounds:
             pairs = placed.join(divided, "bucket").where("root != hub_root").where(likely).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
         else:
             left = store(placed.join(divided.select("bucket"), "bucket", "left_semi"))
-            other = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-            pairs = left.join(other, "bucket").where("node < b and root != other").where(likely).select(F.col("node").alias("a"), "b")
+            need = place(left.select("node").distinct())
+            packed = store(seen.select(F.col("doc_id").alias("first"), "node", "bits").join(need, ["first", "node"], "left_semi").select("node", "bits").dropDuplicates(["node"]))
+            left = store(left.join(packed, "node").withColumnRenamed("bits", "x"))
+            other = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("x").alias("y"))
+            chance = 0.75 * (1 - num / den)  # that two bits differ at the threshold; six standard deviations are let pass
+            most = bands * rows * chance + 6 * (bands * rows * chance * (1 - chance)) ** 0.5
+            pairs = left.join(other, (left["bucket"] == other["bucket"]) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & likely & (_unlike(-(-bands * rows // 32)) <= most)).select(F.col("node").alias("a"), "b")
         more = test(pairs)
         drop(placed), drop(divided)
-        if more.isEmpty() and turn < hub_rounds:
-            continue
-        links = store(links.union(more))
+        links = more if links is None else store(links.union(more))
         roots = components(links)
-    named_nodes = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    linked = nodes.withColumn("root", F.lit(None).cast("long")) if roots is None else nodes.join(roots, "node", "left")
+    named_nodes = linked.select("node", "first", F.coalesce("root", "node").alias("root"))
     firsts = store(named_nodes.groupBy("root").agg(F.min("first").alias("component_id")))
     answer = store(named_nodes.join(firsts, "root").select("node", "component_id"))
     alone = F.when(F.col("node").isNull() | F.col("doc_id").isNull(), F.col("doc_id"))
