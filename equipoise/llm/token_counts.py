@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .encode import encoder, read_tokenizer
+from .shared import store
 
 
 def length_histogram(docs: DataFrame, tokenizer_path: str | None = None, text_col: str = "text") -> DataFrame:
-    """(length long, n_docs long): documents by the number of token ids of their whole text.
+    """Stored (length long, n_docs long): documents by the number of token ids of their whole text.
 
     Null and empty texts have length 0. Each batch sends one row for each length it has met, so what
     is shuffled is counts. An empty table gives no rows; other columns are not read.
@@ -28,7 +29,8 @@ def length_histogram(docs: DataFrame, tokenizer_path: str | None = None, text_co
             seen = Counter(len(enc.encode(t.as_py())) // 4 for t in batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["length", "n"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lengths, "length long, n long").groupBy("length").agg(F.sum("n").alias("n_docs"))
+    seen = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lengths, "length long, n long")
+    return store(seen.groupBy("length").agg(F.sum("n").alias("n_docs")))
 
 
 def limits(histogram: DataFrame, block: int = 1024) -> DataFrame:
