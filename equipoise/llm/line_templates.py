@@ -17,42 +17,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .shared import drop, mix, store, word_hashes
+from .shared import drop, hash_words, mix, split_words, store
 
-_DIGIT = np.zeros(256, dtype=bool)
-_DIGIT[48:58] = True
 FIELD = np.uint64(0)
 
 
-def tokens(line: bytes) -> np.ndarray:
-    """A hash for each token of a line; FIELD for one with a digit."""
-    out = word_hashes(line)
-    if any(48 <= c <= 57 for c in set(line)):
-        words = line.split()
-        out = out.copy()
-        out[[i for i, w in enumerate(words) if _DIGIT[np.frombuffer(w, np.uint8)].any()]] = FIELD
-    return out
-
+def parse(text: str | None, depth: int, least_tokens: int, constant: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(number, leaf, line, tokens) of the \\n-split lines that have enough tokens and few enough variable ones; all lines at once.
 
-def keys(found: np.ndarray, depth: int) -> tuple[int, int]:
-    """(leaf, line) of a line's tokens, as signed longs."""
+    leaf and line are signed longs; tokens are hashes, FIELD for a token with a digit.
+    """
+    raw = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
+    word, starts, ends = split_words(raw)
+    none = np.empty(0, dtype=np.int64)
+    if not len(starts):
+        return none, none, none, []
+    found = hash_words(raw, word, ends - starts)
+    digits = np.concatenate(([0], np.cumsum((raw >= 48) & (raw <= 57))))
+    found = np.where(digits[ends] > digits[starts], FIELD, found)
+    of_line = np.searchsorted(np.flatnonzero(raw == 10), starts)
+    first = np.flatnonzero(np.concatenate(([True], of_line[1:] != of_line[:-1])))
+    size = np.diff(np.concatenate((first, [len(found)])))
+    place = np.arange(len(found)) - np.repeat(first, size)
     with np.errstate(over="ignore"):
-        place = np.arange(1, len(found) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        each = mix(found ^ mix(place))
-        ends = mix(np.asarray([each[:depth].sum(dtype=np.uint64) ^ np.uint64(len(found)), each.sum(dtype=np.uint64) + np.uint64(len(found))])).view(np.int64)
-    return int(ends[0]), int(ends[1])
-
-
-def parse(text: str | None, depth: int, least_tokens: int, constant: float) -> list[tuple[int, int, np.ndarray] | None]:
-    """For each \\n-split line (leaf, line, tokens), or None for one with too few tokens or too many variable ones."""
-    out = []
-    for raw in (text or "").encode("utf-8", "replace").split(b"\n"):
-        found = tokens(raw)
-        if len(found) < least_tokens or np.count_nonzero(found != FIELD) < constant * len(found):
-            out.append(None)
-        else:
-            out.append((*keys(found, depth), found))
-    return out
+        each = mix(found ^ mix((place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        leaf = mix(np.add.reduceat(np.where(place < depth, each, np.uint64(0)), first) ^ size.astype(np.uint64)).view(np.int64)
+        line = mix(np.add.reduceat(each, first) + size.astype(np.uint64)).view(np.int64)
+    kept = np.add.reduceat((found != FIELD).astype(np.int64), first)
+    good = np.flatnonzero((size >= least_tokens) & (kept >= constant * size))
+    return of_line[first[good]], leaf[good], line[good], [found[first[i] : first[i] + size[i]] for i in good]
 
 
 def lines(docs: DataFrame, depth: int, least_tokens: int, constant: float) -> DataFrame:
@@ -63,8 +56,8 @@ def lines(docs: DataFrame, depth: int, least_tokens: int, constant: float) -> Da
         for batch in batches:
             rows = []
             for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                seen = {p[1]: p for p in parse(text.as_py(), depth, least_tokens, constant) if p}
-                for leaf, line, found in seen.values():
+                seen = {h: (leaf, found) for _, leaf, h, found in zip(*parse(text.as_py(), depth, least_tokens, constant), strict=True)}
+                for line, (leaf, found) in seen.items():
                     short = np.where(found == FIELD, 0, np.maximum(found & np.uint64(0xFFFF), 1)).astype("<u2")
                     rows.append((doc, key, leaf, line, short.tobytes()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -135,8 +128,9 @@ def dedup(docs: DataFrame, least_docs: int = 3, depth: int = 3, least_tokens: in
                 t, d = text.as_py(), dropped.as_py()
                 total.append(len(t.split("\n")) if t else 0)
                 if d:
-                    d, parts = set(d), t.split("\n")
-                    kept = [p for p, at in zip(parts, parse(t, depth, least_tokens, constant), strict=True) if not (at and at[1] in d)]
+                    number, _, line, _ = parse(t, depth, least_tokens, constant)
+                    out, parts = set(number[np.isin(line, d)].tolist()), t.split("\n")
+                    kept = [p for i, p in enumerate(parts) if i not in out]
                     gone.append(len(parts) - len(kept))
                     t = "\n".join(kept)
                 else:
