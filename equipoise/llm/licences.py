@@ -72,39 +72,46 @@ RULES = [
 ]
 
 #: A known sentence holds one of these, so a text without any needs no look at its sentences.
-HINTS = ["licen", "permi", "redistribut", "copyright", "warrant", "reserved", "liab", "gnu", "public domain", "the mpl"]
+HINTS = ["licen", "permi", "redistribut", "copyright", "warrant", "reserved", "liab", "gnu", "unencumbered", "mpl"]
 _END = r"[.!?;:]+(?=\s|$)"
 
+#: In turn: ends of sentences with all around them to E, then line ends with all around them to L, then all else but letters and digits to a space. Lower case leaves E and L free; a run is tried from its start only.
+_STEPS = [(_END, "E"), (r"(?<![^a-z0-9])[^a-z0-9E]*+E[^a-z0-9]*+", "E"), (r"(?<![^a-z0-9E])[^a-z0-9E\n]*+\n[^a-z0-9E]*+", "L"), (r"[^a-z0-9EL]+", " ")]
+
 
 def normal(s: Column) -> Column:
-    """A-Z, a-z and 0-9 in lower case, all else as single spaces."""
-    return F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+    """A-Z, a-z and 0-9 in lower case, with E, L or a space between words; an E at both ends."""
+    s = F.lower(s)
+    for found, put in _STEPS:
+        s = F.regexp_replace(s, found, put)
+    return F.concat(F.lit("E"), F.trim(s), F.lit("E"))
 
 
 def normal_text(s: str) -> str:
-    """The same in Python, for the tables above."""
-    return re.sub("[^a-z0-9]+", " ", s.lower()).strip()
+    """The same in Python, for the tables above; without line ends and outer marks."""
+    s = s.lower()
+    for found, put in _STEPS:
+        s = re.sub(found, put, s)
+    return s.replace("L", " ").strip(" E")
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None, text_col: str = "text") -> DataFrame:
     """docs with sentence_ids array<string>, licences array<string> (distinct, in order of the rules), and unmatched_ids (known sentences that no rule took).
 
-    Sentences end at .!?;: before white space; one that runs over lines and isn't known as a whole is
-    looked at line by line, so a notice on its own line is found beside unpunctuated text. A rule's
+    Sentences end at .!?;: before white space, and begin and end at line ends too; one may run over any
+    lines. A known sentence with such a mark inside is found where the text has a mark there too. At a
+    place where several fit, the longest is taken. A rule's
     sentences must follow each other (unknown ones between them aside); every place where it fits is
     taken before the next rule. Null and empty texts have empty arrays. Columns of `docs` with one of
     the new names give way; others stay.
     """
     sentences, rules = SENTENCES if sentences is None else sentences, RULES if rules is None else rules
-    known = {normal_text(t.rstrip(".!?;: ")): k for k, t in sentences.items()}
-    texts = list(known)
+    known = {normal_text(t): k for k, t in sentences.items()}
+    texts = sorted(known, key=len, reverse=True)
     to_id = F.create_map(*[F.lit(x) for t in texts for x in (t, known[t])])
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    hit = lambda s: s.isin(texts)
-    lines = lambda s: F.filter(F.transform(F.split(s, r"\n"), normal), hit)
-    parts = F.filter(F.split(text, _END), lambda s: F.lower(s).rlike("|".join(HINTS)))
-    units = F.flatten(F.transform(parts, lambda s: F.when(hit(normal(s)), F.array(normal(s))).otherwise(lines(s))))
-    found = F.transform(units, lambda s: F.element_at(to_id, s))
+    any_known = "(?<=[EL])(?:" + "|".join(t.replace(" ", "[ L]") for t in texts) + ")(?=[EL])"
+    found = F.transform(F.regexp_extract_all(normal(text), F.lit(any_known), F.lit(0)), lambda s: F.element_at(to_id, F.translate(s, "L", " ")))
     none = F.array().cast("array<string>")
     new = ("sentence_ids", "licences", "unmatched_ids")
     ids = docs.select(*[docs[c] for c in docs.columns if c not in new], F.when(F.lower(text).rlike("|".join(HINTS)), found).otherwise(none).alias("sentence_ids"))

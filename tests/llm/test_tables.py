@@ -167,6 +167,21 @@ def test_licences(spark):
     assert all(any(h in t.lower() for h in licences.HINTS) for t in s.values())
 
 
+def test_every_known_sentence_and_rule_is_found(spark):
+    s = licences.SENTENCES
+    wrap = lambda t, n, by: re.sub(r"((?:\S+ ){%d})" % n, lambda m: m[0][:-1] + by, t)
+    cases = [([k], None, t) for k, t in s.items()] + [(seq, name, "\n".join(s[k] for k in seq)) for name, seq in licences.RULES]
+    forms = [lambda t: t, lambda t: wrap(t, 1, "\n"), lambda t: wrap(t, 4, "\r\n# "), lambda t: "Some Project\n\nCopyright (c) 2024 X\n\n" + wrap(t, 6, "\n") + "\n\nmore words here", lambda t: "What is this? " + t + " And more."]
+    rows = [(i * 10 + j, form(t)) for i, (_, _, t) in enumerate(cases) for j, form in enumerate(forms) if j != 4 or t[-1] in ".;:"]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id int, text string").repartition(4)).collect()}
+    for key, t in rows:
+        ids, name, _ = cases[key // 10]
+        assert got[key].sentence_ids == ids, (t, got[key])
+        assert name is None or (got[key].licences, got[key].unmatched_ids) == ([name], []), (t, got[key])
+    other = ["This program is free software you can redistribute it", "a " + s["mit-title-short"], "-" * 300_000 + "licence" + "\n \t" * 100_000 + "x"]
+    assert all(r.sentence_ids == [] for r in licences.scan(spark.createDataFrame(list(enumerate(other)), "doc_id int, text string")).collect())
+
+
 def judged(url):
     rest = (url or "").partition("://")[2] if "://" in (url or "") else ""
     host = re.match(r"[^/?#]*", rest)[0]
