@@ -2,7 +2,8 @@
 
 A line's leaf is its token count and its leading tokens, tokens with digits being variable fields. In a
 leaf a token that too few documents have at its place is a variable field too, if enough of the line stays
-constant; what then stays is the line's template. Lines of a template that recurs across documents are
+constant; what then stays is the line's template. Too few is a share of the leaf's documents: the largest of
+SHARES that leaves enough constant, so a busy leaf whose field values recur has the templates of a small one. Lines of a template that recurs across documents are
 dropped everywhere but in the first document that has one. All counts are aggregates over the whole corpus; equal lines are one row
 before anything is joined, so a very common line is one row and a busy leaf is never one task's.
 """
@@ -21,6 +22,10 @@ from .shared import drop, hash_words, mix, split_words, store
 
 FIELD = np.uint64(0)
 
+#: Shares of a leaf's documents that have a constant token, tried in order; `least_docs` documents at least.
+SHARES = (0.1, 0.01, 0.0)
+FILTER_BITS = 26
+
 
 def parse(text: str | None, depth: int, least_tokens: int, constant: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """(number, leaf, line, tokens) of the \\n-split lines that have enough tokens and few enough variable ones; all lines at once.
@@ -49,7 +54,7 @@ def parse(text: str | None, depth: int, least_tokens: int, constant: float) -> t
 
 
 def lines(docs: DataFrame, depth: int, least_tokens: int, constant: float) -> DataFrame:
-    """Stored: a row for each distinct line of each document, with doc (a hash of id and text), doc_id, leaf, line, and 16 bits of each token (0: field)."""
+    """Stored: a row for each distinct line of each document, with doc (a hash of id and text), doc_id, leaf, line, and 64 bits of each token (0: field)."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,8 +63,7 @@ def lines(docs: DataFrame, depth: int, least_tokens: int, constant: float) -> Da
             for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 seen = {h: (leaf, found) for _, leaf, h, found in zip(*parse(text.as_py(), depth, least_tokens, constant), strict=True)}
                 for line, (leaf, found) in seen.items():
-                    short = np.where(found == FIELD, 0, np.maximum(found & np.uint64(0xFFFF), 1)).astype("<u2")
-                    rows.append((doc, key, leaf, line, short.tobytes()))
+                    rows.append((doc, key, leaf, line, found.astype("<u8").tobytes()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc", "doc_id", "leaf", "line", "tokens"])
@@ -68,32 +72,59 @@ def lines(docs: DataFrame, depth: int, least_tokens: int, constant: float) -> Da
     return store(rows.mapInArrow(run, "doc long, doc_id long, leaf long, line long, tokens binary"))
 
 
-_SPREAD = "leaf long, line long, n long, size long, place long, token long"
+_SPREAD = "leaf long, line long, n long, docs long, size long, place long, token long"
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leaf, line, n, first, tokens) to a row for each constant token: its place and its 16 bits."""
+    """(leaf, line, n, docs, tokens) to a row for each constant token: its place and its 64 bits."""
     for batch in batches:
-        found = [np.frombuffer(t.as_buffer(), "<u2") for t in batch.column(4)]
+        found = [np.frombuffer(t.as_buffer(), "<u8") for t in batch.column(4)]
         size = np.asarray([len(f) for f in found], dtype=np.int64)
-        flat = np.concatenate(found) if found else np.empty(0, "<u2")
+        flat = np.concatenate(found) if found else np.empty(0, "<u8")
         row = np.repeat(np.arange(len(size)), size)
         spot = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         keep = flat != 0
-        at = [batch.column(i).to_numpy(zero_copy_only=False)[row[keep]] for i in (0, 1, 2)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, at), pa.array(size[row[keep]]), pa.array(spot[keep].astype(np.int64)), pa.array(flat[keep].astype(np.int64))], ["leaf", "line", "n", "size", "place", "token"])
+        at = [batch.column(i).to_numpy(zero_copy_only=False)[row[keep]] for i in (0, 1, 2, 3)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, at), pa.array(size[row[keep]]), pa.array(spot[keep].astype(np.int64)), pa.array(flat[keep].astype(np.uint64).view(np.int64))], ["leaf", "line", "n", "docs", "size", "place", "token"])
+
+
+def _near(found: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The rows of all these leaves and few others, by a bit for each value of FILTER_BITS bits of a leaf: at most 8 MB, whatever the data. Tokens of no other line are shuffled."""
+    at = F.col("leaf").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = leaves.select((at / 64).cast("long").alias("word"), F.expr("shiftleft(1L, cast(leaf & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 6, dtype=np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    held = found.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = batch.column(0).to_numpy().view(np.uint64)
+            spot = leaf & np.uint64((1 << FILTER_BITS) - 1)
+            hit = held.value.view(np.uint64)[spot >> np.uint64(6)] >> (leaf & np.uint64(63)) & np.uint64(1)
+            yield batch.filter(pa.array(hit.astype(bool)))
+
+    return found.select("leaf", "line", "doc", "tokens").mapInArrow(run, "leaf long, line long, doc long, tokens binary")
 
 
-def templates(found: DataFrame, least_docs: int, constant: float) -> DataFrame:
-    """Stored (leaf, line, template, n_docs, first): lines whose template `least_docs` documents or more have, and the first of these."""
+def templates(found: DataFrame, tokens: DataFrame, least_docs: int, constant: float) -> DataFrame:
+    """Stored (leaf, line, template, n_docs, first): lines whose template `least_docs` documents or more have, and the first of these; `tokens`, the lines with these, is dropped once it is read."""
     first = F.min(F.struct("doc_id", "doc")).alias("first")
-    kinds = store(found.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), first, F.min("tokens").alias("tokens")))
+    kinds = store(found.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), first))
     leaves = store(kinds.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("lines")).where(F.col("docs") >= least_docs))
-    busy = store(kinds.join(leaves.where("lines > 1").select("leaf"), "leaf", "left_semi"))
-    each = store(busy.select("leaf", "line", "n", "first", "tokens").mapInArrow(_spread, _SPREAD))
-    common = store(each.groupBy("leaf", "place", "token").agg(F.sum("n").alias("support")).where(F.col("support") >= least_docs).select("leaf", "place", "token"))
-    held = each.join(common, ["leaf", "place", "token"]).groupBy("leaf", "line").agg(F.sum(F.xxhash64("place", "token").cast("decimal(20,0)")).alias("sum"), F.count(F.lit(1)).alias("kept"), F.min("size").alias("size"))
-    general = store(held.where(F.col("kept") >= constant * F.col("size")).select("leaf", "line", F.xxhash64("sum", "kept", "size").alias("template")))
+    busy = store(kinds.join(leaves.where("lines > 1").select("leaf", "docs"), "leaf").select("leaf", "line", "n", "docs", F.col("first.doc").alias("doc")))
+    own = _near(tokens, leaves.where("lines > 1")).join(busy, ["leaf", "line", "doc"])  # the first document's line; rows may repeat
+    own = own.groupBy("leaf", "line").agg(F.min("n").alias("n"), F.min("docs").alias("docs"), F.min("tokens").alias("tokens"))
+    each = store(own.mapInArrow(_spread, _SPREAD))
+    drop(tokens)
+    common = each.groupBy("leaf", "place", "token").agg(F.sum("n").alias("support"), F.min("docs").alias("docs")).where(F.col("support") >= least_docs)
+    common = store(common.select("leaf", "place", "token", (F.col("support") / F.col("docs")).alias("share")))
+    has = [F.col("share") >= s for s in SHARES]
+    sums = [F.sum(F.when(h, F.xxhash64("place", "token").cast("decimal(20,0)"))).alias(f"sum{k}") for k, h in enumerate(has)]
+    kept = [F.count(F.when(h, 1)).alias(f"kept{k}") for k, h in enumerate(has)]
+    held = each.join(common, ["leaf", "place", "token"]).groupBy("leaf", "line").agg(*sums, *kept, F.min("size").alias("size"))
+    # what a share leaves constant, a smaller one does too: lines of one template at a share are of one at every larger share
+    general = F.coalesce(*[F.when(F.col(f"kept{k}") >= constant * F.col("size"), F.xxhash64(f"sum{k}", f"kept{k}", "size")) for k in range(len(SHARES))])
+    general = store(held.select("leaf", "line", general.alias("template")).where("template is not null"))
     named = store(kinds.select("leaf", "line", "n", "first").join(general, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", F.xxhash64("line", F.lit("line")))))
     recurring = store(named.groupBy("leaf", "template").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= least_docs))
     out = store(named.select("leaf", "line", "template").join(recurring, ["leaf", "template"]).select("leaf", "line", "template", "n_docs", "first"))
@@ -106,15 +137,16 @@ def dedup(docs: DataFrame, least_docs: int = 3, depth: int = 3, least_tokens: in
     """docs with recurring lines dropped from text, and n_lines, n_dropped (long).
 
     A line has `least_tokens` tokens or more, at least `constant` of them without a digit. A template keeps
-    at least `constant` of a line's tokens, and recurs if `least_docs` documents or more have it; the document with
+    at least `constant` of a line's tokens, those that `least_docs` documents and one of SHARES of its leaf's have, and recurs if `least_docs` documents or more have it; the document with
     the smallest doc_id (null first) keeps its lines of that template, so nothing is lost from the
     corpus as a whole. A null text stays null, an empty one empty; neither has lines. Rows that repeat
     doc_id and text count as documents and are treated alike. Columns named n_lines or n_dropped give
     way, others stay. An empty table gives no rows.
     """
-    found = lines(docs, depth, least_tokens, constant)
-    again = templates(found, least_docs, constant)
-    later = found.select("doc", "doc_id", "leaf", "line").join(again.select("leaf", "line", "first"), ["leaf", "line"])
+    tokens = lines(docs, depth, least_tokens, constant)
+    found = store(tokens.select("doc", "doc_id", "leaf", "line"))
+    again = templates(found, tokens, least_docs, constant)
+    later = found.join(again.select("leaf", "line", "first"), ["leaf", "line"])
     later = later.where(~F.struct("doc_id", "doc").eqNullSafe(F.col("first")))
     drops = store(later.groupBy("doc").agg(F.collect_set("line").alias("__drop")))  # one document's lines at most
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]

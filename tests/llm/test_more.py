@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 from equipoise.llm import grid_order, line_templates
+from equipoise.llm.shared import word_hashes
 
 from .test_near import classes, sets
 
@@ -76,6 +77,22 @@ def test_line_templates(spark):
     assert line_templates.dedup(table.limit(0)).count() == 0
 
 
+def test_busy_leaf_with_wordy_fields(spark):
+    words = [f"{a}{b}{c}{d}" for a in "bcdfghklmn" for b in "aeiouyjqvx" for c in "aeioubcdfghklmnprstvwzxyjq" for d in "aeioubcdfghklmnprstvwzxyjq"]
+    codes = defaultdict(list)
+    for w, h in zip(words, word_hashes(" ".join(words).encode()).tolist(), strict=True):
+        codes[h & 0xFFFF].append(w)
+    names = [c[:3] for c in codes.values() if len(c) >= 3]  # one-off values of the same 16 bits
+    say = lambda name, place: f"Posted by user {name} in {place} for all of the people"
+    once = [say(names[i][j], names[5 + j][i]) for i in range(3) for j in range(3)]
+    # values that recur in three documents each, in pairs that don't
+    again = [say(words[k % 300], words[300 + (k + k // 300) % 300]) for k in range(900)]
+    for lines in (once, again):
+        assert len(set(lines)) == len(lines)
+        got = line_templates.dedup(spark.createDataFrame([(k, t) for k, t in enumerate(lines)] * 2, "doc_id long, text string")).collect()
+        assert sorted({r.doc_id for r in got if r.text}) == [0]
+
+
 def vector_rows():
     rng = np.random.default_rng(3)
     base = rng.normal(size=(25, 16))
