@@ -1,8 +1,9 @@
 """Quality rules: counts of words and symbols, and bands of n-gram perplexity for each language.
 
-The model is an interpolated modified Kneser-Ney model of characters, of order 4, counted over all
-documents. Every gram of every document has its place in it; what it is worth comes from how often the
-reference text holds it: the documents that pass the base rules and have at most one symbol in ten words. Words of a web corpus are too many for word n-grams within the disk that a scan may use; a
+The model is an interpolated modified Kneser-Ney model of characters, of order 4. Every gram
+of every document has its place in it, but only reference text is counted: the documents that pass the base
+rules and have at most one symbol in ten words. With all documents counted junk is as likely as clean text
+(figures in the README). Words of a web corpus are too many for word n-grams within the disk that a scan may use; a
 character model sees odd symbols, broken words and wrong scripts, and repetition is a rule of its own.
 Counting and smoothing are Spark aggregates and joins. The finished log-probabilities lie in sorted hash
 arrays; they go to the tasks in blocks of a bounded number of rows, so a model of any size is scored,
