@@ -1,10 +1,12 @@
 """MinHash near-dedup: universal hash minima, banding, signature verification, exact confirmation, components by stars.
 
 A document's vertex is the 64-bit fingerprint of its shingle set, so exact copies are one vertex from
-the start. In each bucket of a band every member is compared with one hub, the one that shares most buckets with others, which is linear in the bucket;
-buckets whose members are all connected are done. Those that aren't get another hub, and at last all pairs
-of members that are still in different components, so no candidate pair goes without a verdict. Those
-pairs are compared within the join by two bits of each minimum, so the join puts out likely pairs only.
+the start. In each bucket of a band every member is compared with one hub, the one that shares most buckets
+with others, then with one of another component; both are linear in the bucket, and buckets whose members
+are all connected are done. Members of what is left are gathered into clusters of buckets that overlap,
+and a cluster is compared by blocks of bounded size with whole sets: a pair of blocks counts the shingles
+that its sets share by matrix products and puts out a spanning forest of confirmed links, never its pairs. So no
+candidate pair goes without a verdict.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -43,19 +45,19 @@ def fingerprint(keys: np.ndarray) -> int:
 
 
 def sketch(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, node (fingerprint), bands (a hash for each band, its number within), signature (16 bits of each minimum), bits (two bits of each, packed)."""
+    """doc_id, n_shingles, node (fingerprint), bands (a hash for each band, its number within), signature (16 bits of each minimum)."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = multipliers(bands * rows, seed)
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
-            n, node, buckets, signs, bits = [], [], [], [], []
+            n, node, buckets, signs = [], [], [], []
             for text in batch.column(1):
                 keys = shingles(text.as_py(), width)
                 n.append(len(keys))
                 if not len(keys):
-                    node.append(None), buckets.append(None), signs.append(None), bits.append(None)
+                    node.append(None), buckets.append(None), signs.append(None)
                     continue
                 low = minima(keys, a, b)
                 node.append(fingerprint(keys))
@@ -65,21 +67,9 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> Dat
                         at = mix(at * np.uint64(0x9E3779B97F4A7C15) + r)
                 buckets.append(at.astype(np.int64))
                 signs.append(low.astype("<u2").tobytes())
-                two = np.zeros(-(-len(low) // 32) * 32, dtype=np.uint64)
-                two[: len(low)] = low & np.uint64(3)
-                bits.append((two.reshape(-1, 32) << (np.uint64(2) * np.arange(32, dtype=np.uint64))).sum(axis=1, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array(signs, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "bands", "signature", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "node", "bands", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>, signature binary, bits array<long>")
-
-
-def _unlike(words: int) -> Column:
-    """How many minima differ in their two bits, of packed arrays x and y of so many words each."""
-    total = F.lit(0)
-    for i in range(words):
-        off = F.get("x", i).bitwiseXOR(F.get("y", i))
-        total = total + F.bit_count(off.bitwiseOR(F.shiftrightunsigned(off, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return total
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>, signature binary")
 
 
 def _estimated(pairs: DataFrame, least: float) -> DataFrame:
@@ -123,15 +113,106 @@ def _confirmed(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, bands: int = 48, rows: int = 5, seed: int = 11, margin: float = 0.16, hub_rounds: int = 2) -> DataFrame:
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray], columns: int = 2048) -> np.ndarray:
+    """How many keys each set of x shares with each of y; by products of `columns` keys at a time, so memory is bounded."""
+    row = [np.repeat(np.arange(len(s)), [len(k) for k in s]) for s in (x, y)]
+    key = [np.concatenate(s) if s else np.empty(0, np.uint64) for s in (x, y)]
+    known = np.intersect1d(np.unique(key[0]), np.unique(key[1]), assume_unique=True)
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    if not len(known):
+        return out
+    at = []
+    for r, k in zip(row, key, strict=True):
+        spot = np.minimum(np.searchsorted(known, k), len(known) - 1)
+        hit = np.flatnonzero(known[spot] == k)
+        hit = hit[np.argsort(spot[hit], kind="stable")]
+        at.append((r[hit], spot[hit]))
+    for low in range(0, len(known), columns):
+        part = []
+        for (r, spot), many in zip(at, (len(x), len(y)), strict=True):
+            a, b = np.searchsorted(spot, (low, low + columns))
+            dense = np.zeros((many, min(columns, len(known) - low)), dtype=np.float32)
+            dense[r[a:b], spot[a:b] - low] = 1
+            part.append(dense)
+        out += np.rint(part[0] @ part[1].T).astype(np.int64)
+    return out
+
+
+def _compare(num: int, den: int):  # noqa: ANN202
+    """For one pair of blocks (rows node, root, side, set): links that connect different roots, as a forest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, root, side = (table.column(c).to_numpy() for c in ("node", "root", "side"))
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("set")]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        right = right if len(right) else left
+        both = shared_counts([sets[i] for i in left], [sets[i] for i in right])
+        size = np.asarray([len(s) for s in sets])
+        linked = (den * both >= num * (size[left][:, None] + size[right][None, :] - both)) & (root[left][:, None] != root[right][None, :])
+        above: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while r in above:
+                r = above[r]
+            return r
+
+        out = []
+        for i, j in np.argwhere(linked):
+            a, b = top(int(root[left[i]])), top(int(root[right[j]]))
+            if a != b:
+                above[max(a, b)] = min(a, b)
+                out.append((int(node[left[i]]), int(node[right[j]])))
+        cols = list(zip(*out, strict=True)) or [[], []]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+
+    return run
+
+
+def clusters(members: DataFrame, spreads: int = 2) -> DataFrame:
+    """Stored (kind, part, node, root): parts such that any two members of a bucket lie in one of them.
+
+    A node goes to the largest of its buckets, then to the largest that any of its fellows has gone to, and
+    so on `spreads` times; buckets that still aren't within one cluster are parts of their own. members: (bucket, node, root).
+    """
+    sizes = store(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")))
+    label = store(members.join(sizes, "bucket").groupBy("node").agg(F.max(F.struct("size", "bucket")).alias("label")))
+    for _ in range(spreads):
+        best = store(members.join(label, "node").groupBy("bucket").agg(F.max("label").alias("label")))
+        drop(label)
+        label = store(members.join(best, "bucket").groupBy("node").agg(F.max("label").alias("label")))
+        drop(best)
+    met = members.join(label, "node")
+    split = store(met.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket"))
+    whole = met.groupBy(F.lit(0).alias("kind"), F.col("label.bucket").alias("part"), "node").agg(F.min("root").alias("root"))
+    out = store(whole.union(members.join(split, "bucket").select(F.lit(1).alias("kind"), F.col("bucket").alias("part"), "node", "root")))
+    drop(sizes), drop(label), drop(split)
+    return out
+
+
+def _block_links(parts: DataFrame, sets: DataFrame, num: int, den: int, rows: int, keys: int) -> DataFrame:
+    """(a, b): links between members of different roots in each part, by pairs of blocks of about `rows` sets and `keys` shingles at most."""
+    parts = parts.join(sets.select("node", F.octet_length("set").alias("bytes")), "node")
+    sizes = parts.groupBy("kind", "part").agg(F.ceil(F.greatest(F.count(F.lit(1)) / rows, F.sum("bytes") / 8 / keys)).cast("int").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high"))
+    sizes = store(sizes.where("low != high").select("kind", "part", "blocks"))
+    named = parts.select("kind", "part", "node", "root").join(sizes, ["kind", "part"]).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = named.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("kind", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return dealt.join(sets, "node").groupBy("kind", "part", "i", "j").applyInArrow(_compare(num, den), "a long, b long")
+
+
+def near_duplicates(
+    docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, bands: int = 48, rows: int = 5, seed: int = 11, margin: float = 0.16,
+    hub_rounds: int = 2, block_rows: int = 256, block_keys: int = 500_000,
+) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for all documents: linked where den * intersection >= num * union of their shingle sets.
 
     A set is the distinct `width`-word shingles of the whole text, A-Z lowered; with fewer words the
     whole sequence; none for a null text or one without words, which is linked with nothing. A pair at the
-    threshold misses all bands with a chance of (1 - 0.75 ** 5) ** 48 = 2e-6, and the signature check
-    lets pass what it estimates up to `margin` (some five standard errors) below the threshold.
+    threshold misses all bands with a chance of (1 - 0.75 ** 5) ** 48 = 2e-6. Comparisons with hubs look at signatures first, which let
+    pass what they estimate up to `margin` (some five standard errors) below the threshold (a margin of `num / den` lets all pass); what hubs leave open is compared by whole sets alone.
     component_id: the smallest doc_id reachable. Rows with a null doc_id stay alone (component_id null, kept true); rows
-    that repeat a doc_id are rows of their own, linked by their texts alone. An empty table gives no rows.
+    that repeat a doc_id are rows of their own, linked by their texts alone. An empty table gives no rows; other columns are not read.
     """
     seen = store(sketch(docs, width, bands, rows, seed))
     named = seen.where("node is not null and doc_id is not null")
@@ -148,47 +229,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     texts = docs.select(F.col("doc_id").cast("long").alias("first"), F.col("text").cast("string").alias("text"))
     place = lambda x: nodes.join(x, "node").select("node", "first")
 
+    def whole_sets(need: DataFrame) -> DataFrame:
+        """Stored (node, set) of the stored (node, first)."""
+        found = _sets(texts.join(need.select("first").distinct(), "first", "left_semi"), width)
+        return store(found.join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+
     def test(pairs: DataFrame) -> DataFrame:
         """Stored links among the pairs (a, b)."""
         pairs = store(pairs.distinct())
         need = place(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
         signs = store(seen.select(F.col("doc_id").alias("first"), "node", "signature").join(need, ["first", "node"], "left_semi").select("node", "signature").dropDuplicates(["node"]))
         with_a = pairs.join(signs.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
-        likely = store(_estimated(with_a.join(signs.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b"), num / den - margin))
+        passed = store(_estimated(with_a.join(signs.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b"), num / den - margin))
         drop(pairs), drop(signs)
-        need = store(place(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()))
-        whole = store(_sets(texts.join(need.select("first").distinct(), "first", "left_semi"), width).join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-        with_b = likely.join(whole.select(F.col("node").alias("b"), F.col("set").alias("kb")), "b")
+        need = store(place(passed.select(F.col("a").alias("node")).union(passed.select(F.col("b").alias("node"))).distinct()))
+        whole = whole_sets(need)
+        with_b = passed.join(whole.select(F.col("node").alias("b"), F.col("set").alias("kb")), "b")
         links = store(_confirmed(with_b.join(whole.select(F.col("node").alias("a"), F.col("set").alias("ka")), "a"), num, den))
-        drop(likely), drop(need), drop(whole)
+        drop(passed), drop(need), drop(whole)
         return links
 
     links = roots = None
-    for turn in range(hub_rounds + 2):
+    for turn in range(hub_rounds + 1):
         root = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         placed = store(root.select("bucket", "node", "n", "weight", "root"))
         # the member that shares most with others is the likely centre; then that of another component, then any
-        order = [F.xxhash64("node", F.lit(turn)).alias("o")] if turn == hub_rounds and turn > 1 else []
+        order = [F.xxhash64("node", F.lit(turn)).alias("o")] if turn > 1 else []
         best = F.max(F.struct(*order, "weight", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("root").alias("hub_root")))
         divided = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), best.alias("c")).where("low < high").select("bucket", "c.hub", "c.m", "c.hub_root")
         divided = store(divided)
         if divided.isEmpty():
             break
-        if turn == 1:
-            away = placed.join(divided.select("bucket", "hub_root"), "bucket").where("root != hub_root").drop("hub_root")
-            divided = store(away.groupBy("bucket").agg(best.alias("c")).select("bucket", "c.hub", "c.m", "c.hub_root"))
-        if turn <= hub_rounds:
-            pairs = placed.join(divided, "bucket").where("root != hub_root").where(likely).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
+        if turn < hub_rounds:
+            if turn == 1:
+                away = placed.join(divided.select("bucket", "hub_root"), "bucket").where("root != hub_root").drop("hub_root")
+                divided = store(away.groupBy("bucket").agg(best.alias("c")).select("bucket", "c.hub", "c.m", "c.hub_root"))
+            more = test(placed.join(divided, "bucket").where("root != hub_root").where(likely).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")))
         else:
-            left = store(placed.join(divided.select("bucket"), "bucket", "left_semi"))
-            need = place(left.select("node").distinct())
-            packed = store(seen.select(F.col("doc_id").alias("first"), "node", "bits").join(need, ["first", "node"], "left_semi").select("node", "bits").dropDuplicates(["node"]))
-            left = store(left.join(packed, "node").withColumnRenamed("bits", "x"))
-            other = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("x").alias("y"))
-            chance = 0.75 * (1 - num / den)  # that two bits differ at the threshold; six standard deviations are let pass
-            most = bands * rows * chance + 6 * (bands * rows * chance * (1 - chance)) ** 0.5
-            pairs = left.join(other, (left["bucket"] == other["bucket"]) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & likely & (_unlike(-(-bands * rows // 32)) <= most)).select(F.col("node").alias("a"), "b")
-        more = test(pairs)
+            left = store(placed.join(divided.select("bucket"), "bucket", "left_semi").select("bucket", "node", "root"))
+            whole = whole_sets(store(place(left.select("node").distinct())))
+            more = store(_block_links(clusters(left), whole, num, den, block_rows, block_keys))
+            drop(left), drop(whole)
         drop(placed), drop(divided)
         links = more if links is None else store(links.union(more))
         roots = components(links)

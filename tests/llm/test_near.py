@@ -85,8 +85,31 @@ def test_buckets_without_one_hub(spark):
     rows = list(enumerate(corpus(50, seed=8)))
     _, comp = brute(rows)
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    got = minhash.near_duplicates(table, bands=40, rows=1, margin=1.0, hub_rounds=1).collect()
-    assert {r.doc_id: r.component_id for r in got} == comp
+    for hubs, block in ((0, 7), (1, 256), (3, 7)):
+        got = minhash.near_duplicates(table, bands=40, rows=1, margin=0.75, hub_rounds=hubs, block_rows=block).collect()
+        assert {r.doc_id: r.component_id for r in got} == comp
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(5)
+    x, y = ([np.unique(rng.integers(0, 900, rng.integers(0, 400), dtype=np.uint64)) for _ in range(n)] for n in (30, 20))
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
+    assert minhash.shared_counts(x, y, columns=64).tolist() == want
+
+
+def test_clusters_hold_all_pairs_of_a_bucket(spark):
+    rng = random.Random(7)
+    rows = {(rng.randrange(40) if rng.random() < 0.7 else 100 + b, rng.randrange(90)) for b in range(400)}
+    members = spark.createDataFrame([(b, n, n) for b, n in rows], "bucket long, node long, root long")
+    for spreads in (0, 2):
+        parts = defaultdict(set)
+        for r in minhash.clusters(members, spreads).collect():
+            parts[r.kind, r.part].add(r.node)
+        together = {(a, b) for p in parts.values() for a in p for b in p}
+        by = defaultdict(set)
+        for b, n in rows:
+            by[b].add(n)
+        assert all((a, b) in together for p in by.values() for a in p for b in p)
 
 
 def counts(text):
