@@ -3,7 +3,7 @@
 Unit vectors lie within eps of each other exactly if their cosine reaches the threshold. They are sorted by
 their grid cells of width eps on the leading principal axes; the sorted sequence is cut into intervals.
 Intervals whose boxes are further apart than eps are never joined; the others meet pair by pair, are cut
-into shorter intervals and these again, until what can't be ruled out is compared in double precision.
+into shorter intervals and these again, until what can't be ruled out is compared, in the end in double precision.
 Equal vectors are one, with a count, from the start, and a pair of intervals sends counts and a spanning
 forest, never its pairs.
 """
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -22,11 +22,15 @@ from .shared import drop, store
 from .stars import components
 
 
-def _units(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
+def _rows(raw: bytes | pa.Buffer, many: int) -> np.ndarray:
+    x = np.frombuffer(raw, dtype="<f8").reshape(many, -1)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def _units(raw: list[bytes]) -> np.ndarray:
+    return _rows(b"".join(raw), len(raw))
+
+
 def vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """Stored (vec_id, raw, k1, k2, dim): the components as little-endian doubles and two hashes of them; raw null for a vector that links with nothing."""
     v = F.col(vec_col).cast("array<double>")
@@ -64,7 +68,10 @@ def axes(distinct: DataFrame, dim: int, many: int) -> np.ndarray:
 
 
 def intervals(distinct: DataFrame, dim: int, basis: np.ndarray, eps: float, size: int) -> DataFrame:
-    """Stored intervals of the grid order: block, rep ids, counts, vectors, and the box of each on the axes (the last being what lies off them)."""
+    """Stored intervals of the grid order: block, rep ids, counts, vectors, and the box of each on the axes (the last being what lies off them).
+
+    Sorted rows are numbered through, and each `size` of them are an interval, however many partitions they lie in.
+    """
     many = basis.shape[1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,55 +80,69 @@ def intervals(distinct: DataFrame, dim: int, basis: np.ndarray, eps: float, size
             cells = np.floor(p / eps).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(list(cells), pa.list_(pa.int32()))], ["rep", "copies", "raw", "cells"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids: list, copies: list, raw: list) -> pa.RecordBatch:
-            p = _units(raw) @ basis
-            off = np.sqrt(np.maximum(0, 1 - (p * p).sum(axis=1)))
-            p = np.concatenate((p, off[:, None]), axis=1)
-            row = [[np.asarray(ids, "<i8").tobytes()], [np.asarray(copies, "<i8").tobytes()], [b"".join(raw)], [p.min(axis=0)], [p.max(axis=0)], [int(np.floor(p[:, 0].min() / eps))], [int(np.floor(p[:, 0].max() / eps))], [min(ids)]]
-            kinds = [pa.binary()] * 3 + [pa.list_(pa.float64())] * 2 + [pa.int32()] * 2 + [pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["ids", "copies", "raw", "low", "high", "from", "to", "block"])
+    def box(table: pa.Table) -> pa.Table:
+        ids, copies = (table.column(c).to_numpy() for c in ("rep", "copies"))
+        raw = table.column("raw").to_pylist()
+        p = _framed(_units(raw), basis)
+        row = [[int(table.column("block")[0].as_py())], [ids.astype("<i8").tobytes()], [copies.astype("<i8").tobytes()], [b"".join(raw)], [p.min(axis=0)], [p.max(axis=0)], [int(np.floor(p[:, 0].min() / eps))], [int(np.floor(p[:, 0].max() / eps))]]
+        kinds = [pa.int64()] + [pa.binary()] * 3 + [pa.list_(pa.float64())] * 2 + [pa.int32()] * 2
+        return pa.table({n: pa.array(x, k) for n, x, k in zip(("block", "ids", "copies", "raw", "low", "high", "from", "to"), row, kinds, strict=True)})
 
-        ids, copies, raw = [], [], []
-        for batch in batches:
-            ids += batch.column(0).to_pylist()
-            copies += batch.column(1).to_pylist()
-            raw += batch.column(2).to_pylist()
-            while len(ids) >= size:
-                yield out(ids[:size], copies[:size], raw[:size])
-                ids, copies, raw = ids[size:], copies[size:], raw[size:]
-        if ids:
-            yield out(ids, copies, raw)
-
-    ordered = distinct.select("rep", "copies", "raw").mapInArrow(place, "rep long, copies long, raw binary, cells array<int>")
+    placed = store(distinct.select("rep", "copies", "raw").mapInArrow(place, "rep long, copies long, raw binary, cells array<int>"))
     order = [F.get("cells", i) for i in range(many)] + [F.col("rep")]
     ranges = max(1, -(-distinct.count() // (4 * size)))
-    ordered = store(ordered).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    return store(ordered.select("rep", "copies", "raw").mapInArrow(cut, "ids binary, copies binary, raw binary, low array<double>, high array<double>, `from` int, `to` int, block long"))
+    ordered = store(placed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("rep", "copies", "raw", F.monotonically_increasing_id().alias("at")))
+    drop(placed)
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    starts = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    ranked = ordered.withColumn("part", part).join(starts, "part").select("rep", "copies", "raw", F.floor((row + F.col("start")) / size).alias("block"))
+    return store(ranked.groupBy("block").applyInArrow(box, "block long, ids binary, copies binary, raw binary, low array<double>, high array<double>, `from` int, `to` int"))
+
 
+def _framed(u: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Unit vectors on the axes, and the length of what lies off them."""
+    p = u @ basis
+    return np.concatenate((p, np.sqrt(np.maximum(0, 1 - (p * p).sum(axis=1)))[:, None]), axis=1)
 
-def join_intervals(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, eps: float, threshold: float, leaf: int = 128) -> np.ndarray:
-    """Which of the unit vectors x and y reach the threshold, as booleans; recursively, skipping intervals whose boxes lie further apart than eps."""
-    out = np.zeros((len(x), len(y)), dtype=bool)
 
-    def go(a: slice, b: slice) -> None:
+def join_intervals(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, eps: float, threshold: float, same: bool = False, leaf: int = 512) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Slices of the unit vectors x and y and which of their pairs reach the threshold, where any do; recursively, skipping intervals whose boxes lie further apart than eps.
+
+    Products in single precision rule pairs out; what comes within their error of the threshold is compared in double
+    precision. `same`: x and y are one interval, of which each pair is met once, and no vector with itself.
+    """
+    x32, y32 = x.astype(np.float32), y.astype(np.float32)
+    least = threshold - 1e-6 - 2.0 * x.shape[1] * float(np.finfo(np.float32).eps)
+
+    def go(a: slice, b: slice) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        if same and b.start < a.start:
+            return
         gap = np.maximum(0, np.maximum(py[b].min(axis=0) - px[a].max(axis=0), px[a].min(axis=0) - py[b].max(axis=0)))
         if (gap * gap).sum() > eps * eps * (1 + 1e-9):
             return
         n, m = a.stop - a.start, b.stop - b.start
         if n <= leaf and m <= leaf:
-            out[a, b] = x[a] @ y[b].T >= threshold
+            near = x32[a] @ y32[b].T >= least
+            if same and a.start == b.start:
+                near &= np.tri(n, k=-1, dtype=bool).T
+            i, j = np.nonzero(near)
+            if 8 * len(i) > near.size:
+                near &= x[a] @ y[b].T >= threshold
+            else:
+                near[i, j] = np.einsum("ij,ij->i", x[a][i], y[b][j]) >= threshold
+            if near.any():
+                yield a, b, near
             return
-        for s in ((a,) if n <= leaf else (slice(a.start, a.start + n // 2), slice(a.start + n // 2, a.stop))):
-            for t in ((b,) if m <= leaf else (slice(b.start, b.start + m // 2), slice(b.start + m // 2, b.stop))):
-                go(s, t)
+        for s in (a,) if n <= leaf else (slice(a.start, a.start + n // 2), slice(a.start + n // 2, a.stop)):
+            for t in (b,) if m <= leaf else (slice(b.start, b.start + m // 2), slice(b.start + m // 2, b.stop)):
+                yield from go(s, t)
 
-    go(slice(0, len(x)), slice(0, len(y)))
-    return out
+    yield from go(slice(0, len(x)), slice(0, len(y)))
 
 
 def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each linked vector's id and the smallest id that links reach from it within this pair of intervals."""
+    """Each linked vector's label and the smallest label that links reach from it within this matrix."""
     i, j = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
     part, a, b = linked[np.ix_(i, j)], left[i], right[j]
     la, lb, top = a.copy(), b.copy(), np.iinfo(np.int64).max
@@ -138,36 +159,55 @@ def _matched(pairs: DataFrame, basis: np.ndarray, eps: float, threshold: float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for same, ids_a, n_a, raw_a, ids_b, n_b, raw_b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                ids_a, ids_b = np.frombuffer(ids_a, "<i8"), np.frombuffer(ids_b, "<i8")
-                n_a, n_b = np.frombuffer(n_a, "<i8"), np.frombuffer(n_b, "<i8")
-                dim = len(raw_a) // 8 // len(ids_a)
-                x = _units([raw_a[k : k + 8 * dim] for k in range(0, len(raw_a), 8 * dim)])
-                y = _units([raw_b[k : k + 8 * dim] for k in range(0, len(raw_b), 8 * dim)])
-                full = lambda u: np.concatenate((p := u @ basis, np.sqrt(np.maximum(0, 1 - (p * p).sum(axis=1)))[:, None]), axis=1)
-                linked = join_intervals(x, y, full(x), full(y), eps, threshold)
-                if same:
-                    np.fill_diagonal(linked, False)
-                if not linked.any():
+            for k in range(batch.num_rows):
+                same, ids_a, n_a, raw_a, ids_b, n_b, raw_b = (batch.column(c)[k] for c in range(7))
+                ids_a, n_a, ids_b, n_b = (np.frombuffer(v.as_buffer(), "<i8") for v in (ids_a, n_a, ids_b, n_b))
+                x, y = _rows(raw_a.as_buffer(), len(ids_a)), _rows(raw_b.as_buffer(), len(ids_b))
+                links_a, links_b = np.zeros(len(x)), np.zeros(len(y))
+                low, high = [], []
+                for a, b, linked in join_intervals(x, y, _framed(x, basis), _framed(y, basis), eps, threshold, same.as_py()):
+                    dense = linked.astype(np.float64)
+                    links_a[a] += dense @ n_b[b]
+                    links_b[b] += n_a[a] @ dense
+                    node, least = _forest(linked, ids_a[a], ids_b[b])
+                    low.append(least[node != least]), high.append(node[node != least])
+                if not low:
                     continue
-                rows, cols = linked.any(axis=1), linked.any(axis=0)
-                links_a = linked[rows] @ n_b
-                ids, roots = _forest(linked, ids_a, ids_b)
-                links_b = np.zeros(int(cols.sum()), np.int64) if same else n_a @ linked[:, cols]
-                counts = np.concatenate((links_a, links_b)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts), pa.array(roots)], ["id", "links", "root"])
+                if same.as_py():
+                    ids, counts = ids_a, links_a + links_b
+                else:
+                    ids, counts = np.concatenate((ids_a, ids_b)), np.concatenate((links_a, links_b))
+                hit = np.flatnonzero(counts)
+                hit = hit[np.argsort(ids[hit])]
+                ids, counts = ids[hit], counts[hit].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts), pa.array(_settle(ids, np.concatenate(high), np.concatenate(low)))], ["id", "links", "root"])
 
     return pairs.mapInArrow(run, "id long, links long, root long")
 
 
-def near_duplicates(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", many_axes: int = 8, size: int = 2048) -> DataFrame:
+def _settle(ids: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The smallest id that edges reach from each of the sorted ids."""
+    u, v = np.searchsorted(ids, high), np.searchsorted(ids, low)
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label[u], label[v])
+        now = label.copy()
+        np.minimum.at(now, u, least)
+        np.minimum.at(now, v, least)
+        now = now[now]
+        if (now == label).all():
+            return ids[label]
+        label = now
+
+
+def near_duplicates(table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", many_axes: int = 8, size: int = 8192, most_bytes: int = 1 << 24) -> DataFrame:
     """vec_id, n_links, component_id, kept for all vectors: linked where their cosine is `threshold` or more, in double precision.
 
     n_links counts the other vectors linked directly, copies included; component_id is the smallest vec_id
     that links reach, itself included. Vectors that are null, empty, zero, or hold null or non-finite
     components link with nothing, nor do rows with a null vec_id; vectors of different lengths don't link. Rows
     that repeat a vec_id are vectors of their own with one name. An empty table gives no rows; other columns are not read. Intervals
-    hold `size` vectors; which of them meet is found by joining on the cells of the first axis.
+    hold `size` vectors, fewer where these have more than `most_bytes`; which of them meet is found by joining on the cells of the first axis.
     """
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     rows = vectors(table, id_col, vec_col)
@@ -176,7 +216,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, id_col: str = "ve
     for dim in sorted(r["dim"] for r in distinct.select("dim").distinct().collect()):  # a few lengths of vectors
         own = distinct.where(F.col("dim") == dim)
         basis = axes(own, dim, min(many_axes, dim))
-        blocks = intervals(own, dim, basis, eps, size)
+        blocks = intervals(own, dim, basis, eps, max(1, min(size, most_bytes // (8 * dim))))
         boxes = blocks.select("block", "low", "high", F.explode(F.sequence(F.col("from"), F.col("to") + 1)).alias("cell"))
         far = F.aggregate(F.arrays_zip("low", "high", "low_b", "high_b"), F.lit(0.0), lambda acc, z: acc + F.pow(F.greatest(F.lit(0.0), z["low_b"] - z["high"], z["low"] - z["high_b"]), 2))
         other = boxes.select(F.col("block").alias("block_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), "cell")
