@@ -13,18 +13,41 @@ from pyspark.sql import functions as F
 
 from .shared import ASCII_LOWER, ASCII_UPPER, numbers
 
-#: Words of the small labelled table. Its urls are made from them by rule.
-BLOCKED_WORDS = "ads adserver ads-track ad-track adclick banner popup popads tracker tracking pixel casino poker slots betting pills viagra pharma replica porn xxx adult sex nude warez crack keygen torrent phish spam malware lottery prize payday backlink clickbait".split()
-ALLOWED_WORDS = "news science docs blog wiki library museum university school recipes weather sport travel music health forum support developer code photos garden history law journal review poetry language maps events film economy tionsh ththth therou tionble therble theres ththan".split()
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """(url, block): each word as host, as part of a host, and in a path, under several endings."""
+#: Ordinary words of hosts that filter lists block (gambling, pills, adult, spam, advertising), and of hosts that they don't.
+BLOCKED_WORDS = (
+    "casino poker slots roulette jackpot bingo betting bets lottery wager gamble blackjack viagra pills pharma cialis tramadol steroids "
+    "adult porn xxx sex nude escort webcam camgirls dating hookup spam phish scam clickbait backlink linkfarm seo traffic "
+    "adserver advert ads adclick popunder popup banner tracker tracking pixel affiliate promo cheap free win prize bonus loan payday crypto "
+    "replica warez crack keygen torrent malware"
+).split()
+ALLOWED_WORDS = (
+    "news science docs blog wiki library museum university school recipes weather sport travel music health forum support developer code "
+    "photos garden history law journal review poetry language maps events film economy times herald gazette tribune guardian observer "
+    "hospital clinic city council county parliament ministry archive institute academy college research physics chemistry biology math "
+    "astronomy engineering robotics railway airport harbour bridge mountain river ocean forest valley island theatre opera orchestra "
+    "gallery painting sculpture design architecture kitchen bakery coffee bicycle running tennis football chess puzzle novel author "
+    "books reader writer teacher student children family parents history heritage church culture society charity foundation community "
+    "zeitung rundschau stadt verein wissenschaft schule reise wetter nachrichten journal ville mairie ecole sante voyage cuisine lecture "
+    "diario ciudad escuela ciencia salud viaje cocina lectura heidelberg toulouse salamanca northampton thornton edinburgh ashland "
+    "stanton hathaway brinton sheridan andersen ellington rothenberg tewkesbury hereford whitney easton tolland"
+).split()
+_PATHS = ("/", "/index.html", "/about", "/en/{n}", "/fr/{n}/", "/de/{n}.html", "/es/{n}", "/{n}/{m}/page", "/p/{n}?ref=a", "/item.php?id={n}", "/articles/{w}-{v}", "/{w}/{v}.html")
+_ENDS = ("com", "net", "org", "info", "co.uk", "de", "fr", "es", "io")
+
+
+def labelled_urls() -> list[tuple[str, int, str]]:
+    """(url, block, stem of the host): words and pairs of words as hosts with common starts and endings, and paths of both kinds; two hosts that are allowed to each blocked one."""
     out = []
     for block, words in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS)):
         for i, w in enumerate(words):
-            end, other = ("com", "net", "org")[i % 3], words[(i * 7 + 3) % len(words)]
-            out += [(u, block) for u in (f"http://{w}.example.{end}/en/{i}", f"https://www.{w}.example.net/{other}", f"http://m.{w}.example.com/fr/{i * 91}.html", f"http://{w}-{other}.example.org/", f"https://example.{end}/{w}/{i}", f"https://{other}{i}.example.com/{w}?id={i}")]
+            for k in range(3):
+                v, other = words[(i * 7 + 5 * k + 3) % len(words)], ALLOWED_WORDS[(i * 11 + k * 17 + 1) % len(ALLOWED_WORDS)]
+                stem = (w, f"{w}-{v}", f"{w}{v}" if k % 2 else f"{w}-{other}")[k]
+                for j in range(2):
+                    n = i * 3 + k * 2 + j
+                    path = _PATHS[n % len(_PATHS)].format(n=(n * 37) % 997, m=n % 12 + 1, w=w, v=v)
+                    start = ("", "www.", "m.", "blog.", "en.")[(n * 3 + k) % 5]
+                    out.append((f"{('http', 'https')[n % 2]}://{start}{stem}.{_ENDS[(n * 5 + i) % len(_ENDS)]}{path}", block, stem))
     return out
 
 
@@ -80,9 +103,10 @@ def _score(found: Column, weights: list[float]) -> Column:
     return total / F.sqrt(F.greatest(F.size(found), F.lit(1)).cast("double")) + F.lit(float(weights[-1]))
 
 
-def train(labelled: DataFrame, dims: int = 2048, rounds: int = 30, step: float = 2.0, ridge: float = 1e-4, max_labelled: int = 20_000) -> list[float]:
+def train(labelled: DataFrame, dims: int = 4096, rounds: int = 60, step: float = 16.0, bias_step: float = 2.0, ridge: float = 1e-4, max_labelled: int = 20_000) -> list[float]:
     """Fit by accelerated gradient descent; each round is one aggregate over the labelled rows. Returns dims weights and a bias.
 
+    A feature's share of a url is small, so weights move by a longer step than the bias.
     labelled: (url string, block int 0/1); rows with null or other labels are left out. Of more than
     `max_labelled` rows those with the smallest hash are taken. An empty table gives a model of zeros.
     """
@@ -96,7 +120,8 @@ def train(labelled: DataFrame, dims: int = 2048, rounds: int = 30, step: float =
             spread = err.select(F.explode(F.concat("f", F.array(F.lit(dims)))).alias("i"), "e", F.size("f").alias("n"))
             share = F.when(F.col("i") == dims, F.col("e")).otherwise(F.col("e") / F.sqrt(F.greatest("n", F.lit(1)).cast("double")))
             slope = {r["i"]: r["g"] for r in spread.groupBy("i").agg(F.sum(share).alias("g")).collect()}  # dims + 1 rows at most
-            after = [(1 - step * ridge) * a - step * slope.get(i, 0.0) / count for i, a in enumerate(ahead)]
+            pace = [step] * dims + [bias_step]
+            after = [(1 - s * ridge) * a - s * slope.get(i, 0.0) / count for i, (a, s) in enumerate(zip(ahead, pace, strict=True))]
             momentum, last = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2, momentum
             ahead = [a + (last - 1) / momentum * (a - w) for a, w in zip(after, weights, strict=True)]
             weights = after
@@ -106,7 +131,7 @@ def train(labelled: DataFrame, dims: int = 2048, rounds: int = 30, step: float =
 
 
 def default_labels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(labelled_urls(), "url string, block int")
+    return spark.createDataFrame([(url, block) for url, block, _ in labelled_urls()], "url string, block int")
 
 
 def judge(pages: DataFrame, weights: list[float], rules: list[tuple[str, str, str]] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -114,6 +139,7 @@ def judge(pages: DataFrame, weights: list[float], rules: list[tuple[str, str, st
 
     A rule's verdict stands; else a url is blocked if the model's probability reaches the threshold. A
     url that is null or without '://' has an empty host and path, fits no rule, has the bias as score.
+    Repeated rows are judged alike and all returned, an empty table gives no rows, and a url of any length counts as a whole.
     Columns of `pages` that carry one of these names give way to the new ones; others stay.
     """
     dims = len(weights) - 1
