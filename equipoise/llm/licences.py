@@ -6,6 +6,7 @@ All within one row's expressions: no shuffle, no Python.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,21 @@ SENTENCES = {
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "lgpl-free-2": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-free-3": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-see": "See the GNU Lesser General Public License for more details.",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-see": "See the GNU Affero General Public License for more details.",
+    "epl-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-event": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl-1": "Distributed under the Boost Software License, Version 1.0.",
+    "cc-by-sa-long-4": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-long-4": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nd-long-4": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
     "all-rights": "All rights reserved.",
 }
 
@@ -62,17 +78,19 @@ RULES = [
     ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
     ("BSD-1-Clause", ["bsd-redistribution", "bsd-source"]),
     ("BSD", ["bsd-licensed"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-warranty"]), ("GPL-3.0-or-later", ["gpl-free"]),
-    ("GPL-2.0-or-later", ["gpl-free-2", "gpl-warranty"]), ("GPL-2.0-or-later", ["gpl-free-2"]),
+    ("AGPL-3.0-or-later", ["agpl-free", "gpl-warranty", "agpl-see"]), ("AGPL-3.0-or-later", ["agpl-free"]),
+    ("LGPL-3.0-or-later", ["lgpl-free-3", "lgpl-warranty", "lgpl-see"]), ("LGPL-3.0-or-later", ["lgpl-free-3"]),
+    ("LGPL-2.1-or-later", ["lgpl-free-2", "lgpl-warranty", "lgpl-see"]), ("LGPL-2.1-or-later", ["lgpl-free-2"]),
+    ("GPL-3.0-or-later", ["gpl-free", "gpl-warranty", "gpl-see"]), ("GPL-3.0-or-later", ["gpl-free", "gpl-warranty"]), ("GPL-3.0-or-later", ["gpl-free"]),
+    ("GPL-2.0-or-later", ["gpl-free-2", "gpl-warranty", "gpl-see"]), ("GPL-2.0-or-later", ["gpl-free-2", "gpl-warranty"]), ("GPL-2.0-or-later", ["gpl-free-2"]),
+    ("EPL-2.0", ["epl-2"]), ("Zlib", ["zlib-as-is", "zlib-event", "zlib-grant"]), ("BSL-1.0", ["bsl-1"]), ("0BSD", ["0bsd-grant"]),
+    ("CC-BY-SA-4.0", ["cc-by-sa-long-4"]), ("CC-BY-NC-4.0", ["cc-by-nc-long-4"]), ("CC-BY-ND-4.0", ["cc-by-nd-long-4"]),
     ("GPL-3.0-only", ["gpl-work-3"]), ("GPL-2.0-only", ["gpl-work-2"]), ("LGPL-3.0-only", ["lgpl-work-3"]),
     ("MPL-2.0", ["mpl-2", "mpl-2-copy"]), ("MPL-2.0", ["mpl-2"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4"]), ("CC-BY-SA-4.0", ["cc-by-sa-4"]), ("CC-BY-4.0", ["cc-by-4"]), ("CC-BY-4.0", ["cc-by-long-4"]),
     ("CC0-1.0", ["cc0"]), ("Unlicense", ["unlicense"]), ("ISC", ["isc-grant"]),
-    ("All-rights-reserved", ["all-rights"]),
 ]
 
-#: A known sentence holds one of these, so a text without any needs no look at its sentences.
-HINTS = ["licen", "permi", "redistribut", "copyright", "warrant", "reserved", "liab", "gnu", "unencumbered", "mpl"]
 _END = r"[.!?;:]+(?=\s|$)"
 
 #: In turn: ends of sentences with all around them to E, then line ends with all around them to L, then all else but letters and digits to a space. Lower case leaves E and L free; a run is tried from its start only.
@@ -95,6 +113,17 @@ def normal_text(s: str) -> str:
     return s.replace("L", " ").strip(" E")
 
 
+def hints(normals: Iterable[str], least: int = 6) -> list[str]:
+    """Words such that every normalised sentence holds one: those that most sentences share, of `least` letters where a sentence has any so long."""
+    open_, out = {t for t in normals if t}, []
+    while open_:
+        words = {w for t in open_ for w in [x for x in t.split(" ") if len(x) >= least] or [max(t.split(" "), key=len)]}
+        best = max(sorted(words), key=lambda w: sum(w in t for t in open_))
+        out.append(best)
+        open_ = {t for t in open_ if best not in t}
+    return out
+
+
 def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None, text_col: str = "text") -> DataFrame:
     """docs with sentence_ids array<string>, licences array<string> (distinct, in order of the rules), and unmatched_ids (known sentences that no rule took).
 
@@ -102,7 +131,9 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[t
     lines. A known sentence with such a mark inside is found where the text has a mark there too. At a
     place where several fit, the longest is taken. A rule's
     sentences must follow each other (unknown ones between them aside); every place where it fits is
-    taken before the next rule. Null and empty texts have empty arrays. Columns of `docs` with one of
+    taken before the next rule. A text is looked at only if it holds one of the words that `hints` takes from the sentences given, without
+    which none can be there. "All rights reserved." is known but no licence, so it stays unmatched. Null and empty texts have empty arrays, a
+    text counts whole however long it is, repeated rows are scanned alike and all returned, an empty table gives no rows. Columns of `docs` with one of
     the new names give way; others stay.
     """
     sentences, rules = SENTENCES if sentences is None else sentences, RULES if rules is None else rules
@@ -114,7 +145,7 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[t
     found = F.transform(F.regexp_extract_all(normal(text), F.lit(any_known), F.lit(0)), lambda s: F.element_at(to_id, F.translate(s, "L", " ")))
     none = F.array().cast("array<string>")
     new = ("sentence_ids", "licences", "unmatched_ids")
-    ids = docs.select(*[docs[c] for c in docs.columns if c not in new], F.when(F.lower(text).rlike("|".join(HINTS)), found).otherwise(none).alias("sentence_ids"))
+    ids = docs.select(*[docs[c] for c in docs.columns if c not in new], F.when(F.lower(text).rlike("|".join(hints(texts)) or "$^"), found).otherwise(none).alias("sentence_ids"))
     start = F.struct(F.concat(F.lit(" "), F.concat_ws("  ", "sentence_ids"), F.lit(" ")).alias("left"), none.alias("got"))
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(" " + "  ".join(seq) + " ").alias("seq")) for name, seq in rules])
     fold = F.aggregate(
