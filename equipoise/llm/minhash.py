@@ -45,7 +45,7 @@ def fingerprint(keys: np.ndarray) -> int:
 
 
 def sketch(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, node (fingerprint), bands (a hash for each band, its number within), signature (16 bits of each minimum)."""
+    """doc_id, text_key (xxhash64 of the text), n_shingles, node (fingerprint), bands (a hash for each band, its number within), signature (16 bits of each minimum)."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,9 +67,10 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int, seed: int) -> Dat
                         at = mix(at * np.uint64(0x9E3779B97F4A7C15) + r)
                 buckets.append(at.astype(np.int64))
                 signs.append(low.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "node", "bands", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(buckets, pa.list_(pa.int64())), pa.array(signs, pa.binary())], ["doc_id", "text_key", "n_shingles", "node", "bands", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>, signature binary")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, node long, bands array<long>, signature binary")
 
 
 def _estimated(pairs: DataFrame, least: float) -> DataFrame:
@@ -203,7 +204,7 @@ def _block_links(parts: DataFrame, sets: DataFrame, num: int, den: int, rows: in
 
 def near_duplicates(
     docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, bands: int = 48, rows: int = 5, seed: int = 11, margin: float = 0.16,
-    hub_rounds: int = 2, block_rows: int = 256, block_keys: int = 500_000,
+    hub_rounds: int = 2, block_rows: int = 256, block_keys: int = 500_000, with_text_key: bool = False,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for all documents: linked where den * intersection >= num * union of their shingle sets.
 
@@ -212,7 +213,7 @@ def near_duplicates(
     threshold misses all bands with a chance of (1 - 0.75 ** 5) ** 48 = 2e-6. Comparisons with hubs look at signatures first, which let
     pass what they estimate up to `margin` (some five standard errors) below the threshold (a margin of `num / den` lets all pass); what hubs leave open is compared by whole sets alone.
     component_id: the smallest doc_id reachable. Rows with a null doc_id stay alone (component_id null, kept true); rows
-    that repeat a doc_id are rows of their own, linked by their texts alone. An empty table gives no rows; other columns are not read.
+    that repeat a doc_id are rows of their own, linked by their texts alone; `with_text_key` adds xxhash64 of the text, by which they can be told apart. An empty table gives no rows; other columns are not read.
     """
     seen = store(sketch(docs, width, bands, rows, seed))
     named = seen.where("node is not null and doc_id is not null")
@@ -278,6 +279,6 @@ def near_duplicates(
     firsts = store(named_nodes.groupBy("root").agg(F.min("first").alias("component_id")))
     answer = store(named_nodes.join(firsts, "root").select("node", "component_id"))
     alone = F.when(F.col("node").isNull() | F.col("doc_id").isNull(), F.col("doc_id"))
-    rows_ = seen.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    rows_ = seen.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     out = rows_.join(answer, "node", "left").withColumn("component_id", F.coalesce(alone, "component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"), *["text_key"] * with_text_key)

@@ -159,3 +159,40 @@ def test_pipeline_stages(spark):
     assert sum(mixed.values()) > len(ids)
     out = stage["best-fit packing"](spark, kept, "").collect()
     assert {r.doc_id for r in out} == ids and max(r.offset + r.length for r in out) <= 1024
+
+
+def test_stages_on_odd_rows(spark):
+    """Repeated rows, nulls in any column, clashing extra columns and empty tables, stage by stage."""
+    long = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    a, b = long("a"), long("b")
+    rows = [(3, a, "en", "s", 5), (5, a, "en", "s", 5), (5, b, "en", "s", 5), (5, b, "en", "s", 5), (None, a, None, None, None), (None, a, None, None, None), (9, None, None, None, None), (10, "", "en", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    now = spark.createDataFrame([(*r, 1, 2, "k") for r in rows], schema + ", kept int, text_key int, epochs string").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)
+    near = Counter((r.doc_id, r.text) for r in stage["MinHash near-dedup"](spark, now, "").collect())
+    assert near == {(3, a): 1, (5, b): 1, (None, a): 2, (9, None): 1, (10, ""): 1}
+    mixed = Counter((r.doc_id, r.text) for r in stage["mixing sources to target weights"](spark, now, "").collect())
+    assert set(mixed) <= {(r[0], r[1]) for r in rows} and sum(n for (_, t), n in mixed.items() if t) in range(8, 11)
+    assert all(n <= 2 * sum(r[:2] == k for r in rows) for k, n in mixed.items())
+    lines = Counter((r.doc_id, r.text) for r in stage["line dedup"](spark, now, "").collect())
+    assert lines == Counter((r[0], r[1]) for r in rows)
+    kept = stage["quality rules"](spark, now, "").collect()
+    assert Counter(r.doc_id for r in kept) == {3: 1, 5: 3, None: 2}
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, now.limit(0), "")
+        assert out.count() == 0 and (out.columns == corpus_pipeline.COLUMNS or name == "best-fit packing")
+
+
+def test_pipeline_run(spark):
+    """run() from end to end over a small table, against the stages one by one and sums that must hold."""
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r.sequence_id].append((r.offset, r.length))
+    for pieces in by.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(by) <= 1.05 * sum(r.length for r in out) / 1024 + 1  # a small table has few short pieces to fill up with
