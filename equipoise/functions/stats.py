@@ -17,10 +17,12 @@ def gini(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return out.select(*by, (2 * F.try_divide("ix", F.col("n") * F.col("x")) - (F.col("n") + 1) / F.col("n")).alias("gini"))
 
 
-def zscore(value: Column, by: list[str]) -> Column:
-    """With the sample standard deviation."""
-    own = Window.partitionBy(*by)
-    return F.try_divide(value - F.avg(value).over(own), F.stddev_samp(value).over(own))
+def zscores(df: DataFrame, value: str, by: list[str], name: str = "zscore") -> DataFrame:
+    """df with value less its group's mean over the sample standard deviation; an aggregate joined back, so no group is one task's. Null groups match."""
+    keys = [F.col(c).alias(f"__{c}") for c in by] or [F.lit(0).alias("__all")]
+    sums = df.groupBy(*keys).agg(F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__std"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by] or [F.lit(0) == F.col("__all")]
+    return df.join(F.broadcast(sums) if not by else sums, same).select(*df.columns, F.try_divide(F.col(value) - F.col("__mean"), F.col("__std")).alias(name))
 
 
 def clip(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -51,12 +53,12 @@ def top_share(membership: DataFrame, by: list[str], cluster: str, top: int = 2)
 
 
 def latest_interval(points: DataFrame, at: str, spans: DataFrame, start: str, end: str) -> DataFrame:
-    """points with the span that holds them, the one that starts latest where spans overlap; points in none stay, with nulls. spans are small (checked by the planner) or bucketed beforehand."""
-    point = points.withColumn("__row", F.struct("*"))
+    """points with the span that holds them, the one that starts latest where spans overlap; points in none stay, with nulls, and repeated points stay repeated. spans are small (checked by the planner) or bucketed beforehand."""
+    point = points.select("*", F.struct(F.monotonically_increasing_id().alias("__id"), F.struct("*").alias("__point")).alias("__row"))
     met = point.join(spans, (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)), "left")
     names = spans.columns
     best = met.groupBy("__row").agg(F.max_by(F.struct(*names), F.col(start)).alias("s"))
-    return best.select("__row.*", *[F.col(f"s.{c}").alias(c) for c in names])
+    return best.select("__row.__point.*", *[F.col(f"s.{c}").alias(c) for c in names])
 
 
 def party(c: Column) -> Column:

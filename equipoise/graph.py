@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .operators import measures, spectral, walks
+from .operators import krylov, measures, spectral, walks
 from .storage import store
 
 EDGES = "graph_id string, src long, dst long, weight double"
@@ -18,9 +18,9 @@ def mirrored(edges: DataFrame) -> DataFrame:
 
 
 def normalized(edges: DataFrame) -> DataFrame:
-    """Weights over the mean absolute weight of their graph's stored entries."""
-    own = Window.partitionBy("graph_id")
-    return edges.withColumn("weight", F.col("weight") / F.avg(F.abs("weight")).over(own))
+    """Weights over the mean absolute weight of their graph's stored entries; the means are an aggregate, joined back."""
+    means = edges.groupBy("graph_id").agg(F.avg(F.abs("weight")).alias("__mean"))
+    return edges.join(means, "graph_id").withColumn("weight", F.col("weight") / F.col("__mean")).select(*edges.columns)
 
 
 def erased(edges: DataFrame) -> DataFrame:
@@ -55,6 +55,8 @@ class SignedGraph:
     the number of nodes.
     """
 
+    most_dense = 3_000
+
     def __init__(self, edges: DataFrame, nodes: DataFrame | None = None, *, directed: bool | None = None, weighted: bool | None = None, kmin: int | None = None, kmax: int = 30, m: int | None = 5, semi: bool = True, weight_col: str = "weight"):
         check_range(kmin, kmax)
         if weight_col not in edges.columns:
@@ -72,6 +74,9 @@ class SignedGraph:
             raw = mirrored(one)
         self.raw = store(raw)
         self.kmin, self.kmax, self.m, self.semi_mode = kmin, kmax, m, semi
+        self._large: bool | None = None
+        self._powers: dict[tuple, DataFrame] = {}
+        self.thin: dict[tuple, krylov.Thin] = {}
         ends = self.raw.select("graph_id", F.col("src").alias("id")).union(self.raw.select("graph_id", F.col("dst").alias("id"))).distinct()
         self.nodes = ends if nodes is None else nodes.select(*(["graph_id"] if "graph_id" in nodes.columns else [F.lit("").alias("graph_id")]), *[c for c in nodes.columns if c != "graph_id"])
         self.graphs = store(self._infer(directed, weighted))
@@ -124,12 +129,24 @@ class SignedGraph:
         self.graphs = self.graphs.withColumns({"kmin": low.cast("int"), "kmax": F.least(F.lit(self.kmax), F.col("n_nodes")).cast("int")})
         return self
 
-    # powers of the matrices: engine "spectral" (grouped eigenpairs) or "relational" (joins)
+    # powers of the matrices: engine "spectral" (grouped eigenpairs), "relational" (joins) or "krylov" (leading eigenpairs of one large graph)
     def powers(self, what: str, K: list[int] | None = None, engine: str = "spectral") -> DataFrame:
-        """Scaled traces, diagonals or entries of U^k, S^k and of V_k; see operators.spectral."""
-        if engine == "relational":
-            return walks.powers(self, what, K)
-        return spectral.powers(self, what, K)
+        """Scaled traces, diagonals or entries of U^k, S^k and of V_k; see operators.spectral. Traces and diagonals are stored, and used again by every measure that asks for the same. One graph of more than `most_dense` nodes goes to "krylov" by itself, where m is given and it has symmetric matrices."""
+        if engine == "spectral" and what != "pair" and self.m is not None and self._too_large():
+            engine = "krylov"
+        key = (what, tuple(K) if K is not None else (self.kmin, self.kmax), engine, self.m, self.semi_mode)
+        if key not in self._powers:
+            found = {"relational": walks, "spectral": spectral, "krylov": krylov}[engine].powers(self, what, K)
+            if what == "pair":
+                return found
+            self._powers[key] = store(found)
+        return self._powers[key]
+
+    def _too_large(self) -> bool:
+        if self._large is None:
+            top = self.graphs.agg(F.count(F.lit(1)), F.max("n_nodes"), F.max("directed")).head()
+            self._large = top[0] == 1 and top[1] > self.most_dense and (self.semi_mode or not top[2])
+        return self._large
 
     def k_grid(self, K: list[int] | None = None) -> DataFrame:
         """graph_id, k: the lengths of walks of each graph."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -116,40 +117,113 @@ def grow(near: list[np.ndarray], size: int, rng: np.random.Generator, exact: boo
             return got
 
 
+def _connected(near: list[np.ndarray], members: list[int]) -> bool:
+    inside, reach, todo = set(members), {members[0]}, [members[0]]
+    while todo:
+        for w in map(int, near[todo.pop()]):
+            if w in inside and w not in reach:
+                reach.add(w), todo.append(w)
+    return len(reach) == len(inside)
+
+
 def replace(near: list[np.ndarray], size: int, rng: np.random.Generator, exact: bool = True) -> list[int]:
-    """Expansion, then neighbours take the place of vertices with a falling chance (size / i) where the subgraph stays connected; evens out what expansion favours."""
+    """Expansion, then one by one every vertex that can be reached takes the place of a member with a falling chance (size / i) where the subgraph stays connected.
+
+    The vertices still to try are neighbours of those met so far, tried ones included, until none is left;
+    this evens out what expansion favours.
+    """
     got = grow(near, size, rng, exact)
-    edge = [v for v in {int(w) for u in got for w in near[u]} - set(got)]
-    rng.shuffle(edge)
-    for i, v in enumerate(edge, start=size + 1):
+    met, waiting, i = set(got), sorted({int(w) for u in got for w in near[u]} - set(got)), len(got)
+    while waiting:
+        i += 1
+        at = int(rng.integers(len(waiting)))
+        waiting[at], waiting[-1] = waiting[-1], waiting[at]
+        v = waiting.pop()
+        met.add(v)
         if rng.random() < size / i:
             new = got.copy()
             new[int(rng.integers(len(new)))] = v
-            reach, todo = {new[0]}, [new[0]]
-            while todo:
-                for w in map(int, near[todo.pop()]):
-                    if w in new and w not in reach:
-                        reach.add(w), todo.append(w)
-            got = new if len(reach) == len(new) else got
+            got = new if _connected(near, new) else got
+        more = set(map(int, near[v])) - met - set(waiting)
+        waiting += sorted(more)
     return got
 
 
-def sampled_cycles(edges: DataFrame, length: int, n_samples: int = 100_000, seed: int = 1, sampler: Callable = grow, first: int = 0, exact: bool = True) -> DataFrame:
-    """length, positive, negative: means over sampled connected subgraphs of `length` vertices of the one graph in `edges`.
+def connected_sets(near: list[set[int]], root: int, most: int) -> Iterator[tuple[list[int], int]]:
+    """Every connected set of up to `most` vertices whose least is `root`, once, with the number of its neighbours outside."""
 
-    The graph is broadcast (its nodes are few enough for a dense matrix: 5,000 at most); samples are dealt over tasks, and each has its own
-    seed from its number, so a lost task draws the same again.
+    def go(members: list[int], open_: list[int], beside: set[int]) -> Iterator[tuple[list[int], int]]:
+        yield members, len(beside.difference(members))
+        if len(members) == most:
+            return
+        for i, v in enumerate(open_):
+            fresh = [w for w in near[v] if w > root and w not in beside and w not in members]
+            yield from go([*members, v], open_[i + 1 :] + fresh, beside | near[v])
+
+    yield from go([root], sorted(w for w in near[root] if w > root), set(near[root]))
+
+
+def sieve(a: np.ndarray, most: int, roots: range | list[int] | None = None) -> np.ndarray:
+    """(unsigned, signed) sums over simple cycles of each length 0 to `most`, without listing cycles.
+
+    Closed walks of length l within each connected induced set H of vertices are counted with the sign (-1)^(l - |H|)
+    as often as H's neighbours can fill it up to l vertices; all but simple cycles cancel out. The cost is the number of
+    connected sets of `most` vertices, whatever the number of cycles.
     """
-    spark = edges.sparkSession
-    ship_package(spark)
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    if (n := nodes.count()) > 5_000:
-        raise ValueError(f"{n} nodes; sampling holds at most 5,000 in a dense matrix")
+    near = [set(np.flatnonzero((a[i] != 0) | (a[:, i] != 0)).tolist()) - {i} for i in range(len(a))]
+    out = np.zeros((most + 1, 2))
+    for root in range(len(a)) if roots is None else roots:
+        for members, outside in connected_sets(near, root, most):
+            s = a[np.ix_(members, members)].astype(np.float64)
+            walk_u, walk_s, u = np.abs(s), s, np.abs(s)
+            for length in range(1, most + 1):
+                if length > 1:
+                    walk_u, walk_s = walk_u @ u, walk_s @ s
+                fill = length - len(members)
+                if 0 <= fill <= outside:
+                    out[length] += np.array([np.trace(walk_u), np.trace(walk_s)]) * ((-1) ** fill * math.comb(outside, fill) / length)
+    return out
+
+
+def _dense(edges: DataFrame, most_nodes: int = 5_000) -> np.ndarray:
+    """The one graph in `edges` as a dense matrix of signs without loops, if it has few enough nodes."""
+    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    if (n := ids.count()) > most_nodes:
+        raise ValueError(f"{n} nodes; at most {most_nodes} are held in a dense matrix")
     pdf = edges.select("src", "dst", "weight").toPandas()
     ids = np.unique(pdf[["src", "dst"]].to_numpy())
     a = np.zeros((n, n), dtype=np.int8)
     a[np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"])] = np.sign(pdf["weight"])
     np.fill_diagonal(a, 0)
+    return a
+
+
+def sieve_cycles(edges: DataFrame, most: int) -> DataFrame:
+    """length, positive, negative: simple cycles of the one graph in `edges`, exact, by the sieve over connected vertex sets; each task takes some least vertices."""
+    spark = edges.sparkSession
+    ship_package(spark)
+    sent = spark.sparkContext.broadcast(_dense(edges))  # 25 MB at most
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = sieve(sent.value, most, batch["id"].tolist())
+            yield pd.DataFrame({"length": range(most + 1), "u": found[:, 0], "s": found[:, 1]})
+
+    n = len(sent.value)
+    sums = spark.range(0, n, 1, max(1, min(n, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(run, "length int, u double, s double")
+    sums = sums.where("length > 1").groupBy("length").agg(F.sum("u").alias("u"), F.sum("s").alias("s"))
+    return sums.select("length", *[F.round((F.col("u") + sign * F.col("s")) / 2).cast("long").alias(c) for c, sign in (("positive", 1), ("negative", -1))])
+
+
+def sampled_cycles(edges: DataFrame, length: int, n_samples: int = 100_000, seed: int = 1, sampler: Callable = replace, first: int = 0, exact: bool = True) -> DataFrame:
+    """length, positive, negative: means over sampled connected subgraphs of `length` vertices of the one graph in `edges`.
+
+    The graph is broadcast (its nodes are few enough for a dense matrix: 5,000 at most); samples are dealt over tasks, and each has its own
+    seed from its number, so a lost task draws the same again.
+    """
+    spark = edges.sparkSession
+    ship_package(spark)
+    a = _dense(edges)
     sent = spark.sparkContext.broadcast(a)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,7 +242,7 @@ def sampled_cycles(edges: DataFrame, length: int, n_samples: int = 100_000, seed
     return sums.groupBy("length").agg(*[(F.sum(c) / n_samples).alias(c) for c in ("positive", "negative")])
 
 
-def sampled_ratio(edges: DataFrame, length: int, accuracy: float | None = None, n_samples: int = 100_000, batch: int = 1_000, most_batches: int = 1_000, seed: int = 1, sampler: Callable = grow) -> DataFrame:
+def sampled_ratio(edges: DataFrame, length: int, accuracy: float | None = None, n_samples: int = 100_000, batch: int = 1_000, most_batches: int = 1_000, seed: int = 1, sampler: Callable = replace) -> DataFrame:
     """length, positive, negative, unbalanced, balanced from sampled subgraphs.
 
     With `accuracy`, batches are drawn until the standard deviation of the running ratios of every length

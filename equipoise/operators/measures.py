@@ -110,7 +110,8 @@ def node_balance(graph, beta=None, weak: bool = False, clip: bool = True, report
     out = t.select("graph_id", "node", "beta", raw.alias("value"))
     if report_incorrect:
         outside = F.coalesce((F.col("value") < 0) | (F.col("value") > 1), F.lit(False)).cast("double")
-        out = out.withColumn("incorrect", F.avg(outside).over(Window.partitionBy("graph_id", "beta")))
+        share = out.groupBy("graph_id", "beta").agg(F.avg(outside).alias("incorrect"))
+        out = out.join(share, ["graph_id", "beta"]).select("graph_id", "node", "beta", "value", "incorrect")
     if clip:
         out = out.withColumn("value", F.when(F.col("value").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), "value"))))
     return out
@@ -119,9 +120,9 @@ def node_balance(graph, beta=None, weak: bool = False, clip: bool = True, report
 def node_contrib(graph, beta=None, normalize: bool = False, K: list[int] | None = None, engine: str = "spectral") -> DataFrame:
     """graph_id, node, beta, value: a node's share of the closed walks; sums to one, or to the number of nodes if normalised."""
     t = exponentials(graph, "diag", beta, K, engine)
-    own = Window.partitionBy("graph_id", "beta")
-    value = ratio(F.col("u"), F.sum("u").over(own)) * (F.count(F.lit(1)).over(own) if normalize else 1)
-    return t.select("graph_id", "node", "beta", value.alias("value"))
+    sums = t.groupBy("graph_id", "beta").agg(F.sum("u").alias("__u"), F.count(F.lit(1)).alias("__n"))
+    value = ratio(F.col("u"), F.col("__u")) * (F.col("__n") if normalize else 1)
+    return t.join(sums, ["graph_id", "beta"]).select("graph_id", "node", "beta", value.alias("value"))
 
 
 def pairwise_index(graph, beta=None, weak: bool = False, K: list[int] | None = None, engine: str = "spectral") -> DataFrame:

@@ -74,10 +74,10 @@ def pruned() -> str:
     return f"WITH {', '.join(out)} SELECT src, dst, w AS weight FROM q{last}"
 
 
-RGS = f"""WITH RECURSIVE {RAW}, {SIGNS}, f AS (SELECT * FROM e WHERE src < 6 AND dst < 6),
- r(n, code, top) AS (SELECT 1, [0], 0 UNION ALL SELECT n + 1, list_append(code, c), greatest(top, c) FROM r, (SELECT unnest(range(6)) c) cs WHERE n < 6 AND c <= top + 1),
- sc AS (SELECT code, sum(CASE WHEN code[src + 1] = code[dst + 1] AND w < 0 THEN -w WHEN code[src + 1] <> code[dst + 1] AND w > 0 THEN w ELSE 0 END) / sum(abs(w)) v FROM r, f WHERE n = 6 GROUP BY code)
- SELECT CAST(count(*) AS BIGINT) AS partitions, round(min(v), 6) AS value FROM sc"""
+REGIONS = f"WITH RECURSIVE {RAW}, reg AS (SELECT a.n_regionkey s, b.n_regionkey d, CAST(sign(sum(w)) AS DOUBLE) w FROM raw JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst WHERE a.n_regionkey <> b.n_regionkey GROUP BY 1, 2 HAVING sum(w) <> 0)"
+PARTS = f"""{REGIONS},
+ r(n, code, top) AS (SELECT 1, [0], 0 UNION ALL SELECT n + 1, list_append(code, c), greatest(top, c) FROM r, (SELECT unnest(range(5)) c) cs WHERE n < 5 AND c <= top + 1),
+ sc AS (SELECT code, sum(CASE WHEN code[s + 1] = code[d + 1] AND w < 0 THEN -w WHEN code[s + 1] <> code[d + 1] AND w > 0 THEN w ELSE 0 END) / sum(abs(w)) v FROM r, reg WHERE n = 5 GROUP BY code)"""
 COMP = f"""WITH RECURSIVE {RAW}, {SIGNS}, both_ AS (SELECT src a, dst b FROM e UNION SELECT dst, src FROM e), r(a, b) AS (SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT) FROM nation UNION SELECT r.a, both_.b FROM r JOIN both_ ON both_.a = r.b)
  SELECT a AS id, min(b) AS component FROM r GROUP BY a"""
 
@@ -133,5 +133,73 @@ SQL = {
     "correlation_error": "SELECT round(corr(l_quantity, l_extendedprice), 6) AS r, round(avg(abs((l_quantity - l_extendedprice) / l_extendedprice)), 6) AS error FROM lineitem",
     "undirected_mean_collapse": f"WITH {RAW} SELECT least(src, dst) AS src, greatest(src, dst) AS dst, round(avg(w), 6) AS value FROM raw GROUP BY 1, 2",
     "contrib_argmax": f"{traces()}, {BETAS}, c AS (SELECT beta, k, u * {C} c FROM t, b) SELECT round(beta, 6) AS beta, arg_max(k, c) AS k FROM c GROUP BY beta",
-    "set_partitions_best": RGS,
+    "set_partitions_best": f"{PARTS} SELECT CAST(count(*) AS BIGINT) AS partitions, round(min(v), 6) AS value FROM sc",
+    "best_partition": f"{PARTS} SELECT array_to_string(code, ',') AS part_id, round(v, 6) AS value FROM sc ORDER BY round(v, 12), array_to_string(code, ',') LIMIT 1",
+}
+
+# the same walks over other matrices
+_BODY = RAW.removeprefix("raw AS ")
+UNDIRECTED = f"raw0 AS {_BODY}, und AS (SELECT least(src, dst) a, greatest(src, dst) b, avg(w) w FROM raw0 GROUP BY 1, 2 HAVING avg(w) <> 0), raw AS (SELECT a src, b dst, w FROM und UNION ALL SELECT b, a, w FROM und WHERE a <> b)"
+SCALED = "e AS (SELECT src, dst, w / (SELECT avg(abs(w)) FROM raw) w FROM raw)"
+AS_GIVEN = "half AS (SELECT src a, dst b, abs(w) u, w s, greatest(w, 0) p, greatest(-w, 0) n FROM e)"
+
+
+def undirected(sql: str) -> str:
+    """Over the mean of both directions, with lengths from 3."""
+    return sql.replace(RAW, UNDIRECTED).replace("k >= 2", "k >= 3")
+
+
+def scaled(sql: str) -> str:
+    return sql.replace(SIGNS, SCALED)
+
+
+def given(sql: str) -> str:
+    return sql.replace(SEMI, AS_GIVEN)
+
+
+YEAR_NODES = f"{YSIGN}, n AS (SELECT g, CAST(n_nationkey AS BIGINT) id FROM (SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) g FROM orders) y CROSS JOIN nation)"
+YSTATS = SQL["yearly_stats"]
+CODES = "f AS (SELECT n_regionkey r, min(n_nationkey) first FROM nation GROUP BY 1), code AS (SELECT r, row_number() OVER (ORDER BY first) - 1 c FROM f)"
+AMI = """WITH c AS (SELECT n_regionkey a, n_nationkey % 4 b, CAST(count(*) AS DOUBLE) n FROM nation GROUP BY 1, 2), x AS (SELECT a, sum(n) x FROM c GROUP BY 1), y AS (SELECT b, sum(n) y FROM c GROUP BY 1), t AS (SELECT sum(n) t FROM c),
+ mi AS (SELECT sum(n / t * ln(t * n / (x * y))) mi FROM c JOIN x USING (a) JOIN y USING (b), t),
+ k AS (SELECT x, y, t, unnest(generate_series(CAST(greatest(1, x + y - t) AS BIGINT), CAST(least(x, y) AS BIGINT))) k FROM x, y, t),
+ em AS (SELECT sum(k / t * ln(t * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(t - x - y + k + 1))) em FROM k),
+ h AS (SELECT (SELECT -sum(x / t * ln(x / t)) FROM x, t) hx, (SELECT -sum(y / t * ln(y / t)) FROM y, t) hy)
+ SELECT round((mi - em) / ((hx + hy) / 2 - em), 6) AS ami FROM mi, em, h"""
+ONE_BETA = f"{traces()}, b AS (SELECT CAST('1.0' AS DOUBLE) beta) SELECT round(beta, 6) AS beta, round((1 + sum(s * {C}) / sum(u * {C})) / 2, 6) AS value FROM t, b GROUP BY beta"
+
+SQL |= {
+    "beta_grid": f"{traces()}, {BMAX} SELECT round(2.220446049250313e-16 + i * (beta - 2.220446049250313e-16) / 9, 6) AS value FROM bm, (SELECT unnest(range(10)) i) r",
+    "k_grid": "SELECT CAST(unnest(range(2, 26)) AS INT) AS k",
+    "set_krange": "SELECT CAST(unnest(range(4, 10)) AS INT) AS k",
+    "undirected_mirror": undirected(f"WITH {RAW} SELECT src, dst, round(w / (SELECT avg(abs(w)) FROM raw), 6) AS value FROM raw"),
+    "undirected_balance": undirected(texp(False, False)),
+    "undirected_node_balance": undirected(diagonal(f"greatest(0, least(1, (1 + sum(s * {C}) / sum(u * {C})) / 2))")),
+    "undirected_k_balance_weak": undirected(SQL["k_balance_weak"]),
+    "weighted_balance": scaled(texp(False, False)),
+    "weighted_balance_weak": scaled(texp(True, False)),
+    "weighted_pairwise_cohesion": scaled(pairs(False)),
+    "non_semi_balance": given(ONE_BETA),
+    "non_semi_k_balance": given(SQL["k_balance_strong"]),
+    "krylov_balance": SQL["balance_strong"],
+    "krylov_node_balance_weak": SQL["node_balance_weak"],
+    "graphml_round_trip": f"WITH {RAW} SELECT src, dst, w AS value FROM raw",
+    "random_graph": "SELECT CAST(900 AS BIGINT) AS n_edges, CAST(900 AS BIGINT) AS distinct_edges, CAST(0 AS BIGINT) AS not_ordered",
+    "cycle_counts_sieve": f"{CYCLES} SELECT CAST(length AS INT) AS length, CAST(positive AS BIGINT) AS positive, CAST(negative AS BIGINT) AS negative FROM c",
+    "is_symmetric": f"WITH {RAW} SELECT 'given' AS graph, (SELECT count(*) FROM raw a LEFT JOIN raw b ON a.src = b.dst AND a.dst = b.src AND a.w = b.w WHERE b.src IS NULL) = 0 AS symmetric UNION ALL SELECT 'mirrored', true",
+    "ami_partition": AMI,
+    "party_labels": "SELECT CASE right(c_name, 1) WHEN '1' THEN 'D' WHEN '2' THEN 'R' ELSE CASE WHEN upper(right(c_name, 1)) IN ('R', 'D') THEN upper(right(c_name, 1)) ELSE 'O' END END AS party, count(*) AS n FROM customer GROUP BY 1",
+    "first_codes": f"WITH {CODES} SELECT CAST(n_nationkey AS BIGINT) AS id, c AS code FROM nation JOIN code ON r = n_regionkey",
+    "labels_differing": f"WITH {CODES} SELECT CAST(sum(CASE WHEN c <> n_nationkey % 5 THEN 1 ELSE 0 END) AS BIGINT) AS differing FROM nation JOIN code ON r = n_regionkey",
+    "clip_values": "SELECT CAST(s_suppkey AS BIGINT) AS id, round(greatest(0.0, least(1.0, s_acctbal / 5000)), 6) AS value FROM supplier",
+    "strength_bounds": f"{YEAR_NODES}, d AS (SELECT n.g, id, coalesce(sum(abs(w)), 0) d FROM n LEFT JOIN e ON e.g = n.g AND e.src = n.id GROUP BY 1, 2) SELECT g AS graph_id, min(d) AS low, max(d) AS high FROM d GROUP BY 1",
+    "least_column_row": f"{YSIGN}, n AS (SELECT g, src id, CAST(sum(CASE WHEN w > 0 THEN 1 ELSE 0 END) AS BIGINT) pos, CAST(sum(CASE WHEN w < 0 THEN 1 ELSE 0 END) AS BIGINT) neg FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY least(pos, neg), id) k FROM n) SELECT g AS graph_id, id, least(pos, neg) AS least, CASE WHEN pos <= neg THEN 'pos' ELSE 'neg' END AS column FROM r WHERE k = 1",
+    "group_positions": "SELECT CAST(n_regionkey AS BIGINT) AS region, CAST(n_nationkey AS BIGINT) AS id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) - 1 AS position FROM nation",
+    "positional_join": "WITH a AS (SELECT n_regionkey r, n_nationkey i, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) k FROM nation), b AS (SELECT n_regionkey r, n_nationkey i, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) k FROM nation) SELECT CAST(a.r AS BIGINT) AS region, CAST(a.i AS BIGINT) AS id, CAST(b.i AS BIGINT) AS other FROM a JOIN b ON a.r = b.r AND a.k = b.k",
+    "stacked_stats": f"SELECT graph_id, unnest(['mean_degree', 'std_degree', 'cv']) AS stat, unnest([mean_degree, std_degree, cv]) AS value FROM ({YSTATS}) y",
+    "suffix_columns": f"SELECT graph_id, mean_degree AS mean, std_degree AS std FROM ({YSTATS}) y",
+    "keyed_concat": f"{SIMPLE} SELECT src, count(*) AS n, 'positive' AS sign, 0.0::DOUBLE AS mean_dst FROM e WHERE w > 0 GROUP BY 1 UNION ALL SELECT src, count(*), 'negative', round(avg(dst), 6) FROM e WHERE w < 0 GROUP BY 1",
+    "crossing_edges_reweighted": f"WITH {RAW} SELECT src, dst, round(CASE WHEN a.n_regionkey <> b.n_regionkey THEN w * 0.5 ELSE w END, 6) AS value FROM raw {ENDS}",
+    "heavy_edges": f"WITH {RAW} SELECT src, dst, w AS value FROM raw WHERE abs(w) > (SELECT avg(abs(w)) FROM raw)",
+    "beta_curve_mean": f"{traces()}, {BETAS}, c AS (SELECT beta, k, u * {C} / sum(u * {C}) OVER (PARTITION BY beta) c FROM t, b) SELECT k, round(avg(c), 6) AS mean FROM c GROUP BY k",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import SignedGraph
+from .generators import collapsed
 
 #: The records of the metadata example, with their overlap.
 PRESIDENTS = [
@@ -44,6 +45,20 @@ def trade(spark: SparkSession, sf_dir: str, weighted: bool = False, **kw) -> Sig
     return SignedGraph(trade_edges(spark, sf_dir), nodes, directed=True, weighted=weighted, **({"m": None} | kw))
 
 
+def undirected_trade(spark: SparkSession, sf_dir: str, **kw) -> SignedGraph:
+    """The trade graph with the mean of both directions on each edge."""
+    nodes = nations(spark, sf_dir).withColumn("graph_id", F.lit("trade"))
+    return SignedGraph(collapsed(trade_edges(spark, sf_dir)), nodes, directed=False, **({"m": None} | kw))
+
+
+def region_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between regions: sums of the trade graph's weights."""
+    region = nations(spark, sf_dir)
+    a, b = region.select(F.col("id").alias("src"), F.col("region").alias("from")), region.select(F.col("id").alias("dst"), F.col("region").alias("to"))
+    met = trade_edges(spark, sf_dir).join(a, "src").join(b, "dst").where("`from` != `to`")
+    return met.groupBy("graph_id", F.col("from").alias("src"), F.col("to").alias("dst")).agg(F.sum("weight").alias("weight")).where("weight != 0")
+
+
 def yearly_trade(spark: SparkSession, sf_dir: str, **kw) -> SignedGraph:
     edges = trade_edges(spark, sf_dir, True)
     years = table(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("string").alias("graph_id")).distinct()
@@ -53,11 +68,11 @@ def yearly_trade(spark: SparkSession, sf_dir: str, **kw) -> SignedGraph:
 
 
 def customer_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bipartite graph of customers and suppliers, given once."""
+    """The bipartite graph of customers (even ids) and suppliers (odd ids), given once."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.when(F.col("l_returnflag") == "R", -2.0).otherwise(1.0).alias("w"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     met = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return met.groupBy(F.lit("market").alias("graph_id"), F.col("o_custkey").cast("long").alias("src"), (F.col("l_suppkey").cast("long") + 10_000_000).alias("dst")).agg(F.sum("w").alias("weight")).where("weight != 0")
+    return met.groupBy(F.lit("market").alias("graph_id"), (2 * F.col("o_custkey").cast("long")).alias("src"), (2 * F.col("l_suppkey").cast("long") + 1).alias("dst")).agg(F.sum("w").alias("weight")).where("weight != 0")
 
 
 def presidents(spark: SparkSession) -> DataFrame:

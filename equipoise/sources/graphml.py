@@ -43,3 +43,17 @@ def read(spark: SparkSession, path: str, weight: str = "weight") -> tuple[DataFr
     flat = flat.select("graph_id", F.col("source").alias("src"), F.col("target").alias("dst"), F.coalesce("weight", F.lit(1.0)).alias("weight")).join(graphs, "graph_id")
     edges = flat.where("directed").drop("directed").unionByName(mirrored(flat.where("not directed").drop("directed")))
     return edges, nodes, graphs
+
+
+def write(edges: DataFrame, nodes: DataFrame, path: str, directed: bool = True) -> None:
+    """One graph as a gzipped GraphML file in the folder `path`: nodes (id) and edges (src, dst, weight), the latter given once.
+
+    A file is one task's work, as a graph that is kept in one file fits into one.
+    """
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<key id="w" for="edge" attr.name="weight" attr.type="double"/>', f'<graph id="G" edgedefault="{"directed" if directed else "undirected"}">']
+    spark = edges.sparkSession
+    line = lambda rows, place: spark.createDataFrame([(place, i, r) for i, r in enumerate(rows)], "part int, at long, value string")
+    node = nodes.select(F.lit(1).alias("part"), F.col("id").alias("at"), F.format_string('<node id="%d"/>', F.col("id").cast("long")).alias("value"))
+    edge = edges.select(F.lit(2).alias("part"), F.col("src").alias("at"), F.concat(F.lit('<edge source="'), "src", F.lit('" target="'), "dst", F.lit('"><data key="w">'), F.col("weight").cast("string"), F.lit("</data></edge>")).alias("value"))
+    rows = line(head, 0).union(node).union(edge).union(line(["</graph>", "</graphml>"], 3))
+    rows.coalesce(1).sortWithinPartitions("part", "at").select("value").write.mode("overwrite").option("compression", "gzip").text(path)
