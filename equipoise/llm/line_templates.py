@@ -72,11 +72,11 @@ def lines(docs: DataFrame, depth: int, least_tokens: int, constant: float) -> Da
     return store(rows.mapInArrow(run, "doc long, doc_id long, leaf long, line long, tokens binary"))
 
 
-_SPREAD = "leaf long, line long, n long, docs long, size long, place long, token long"
+_SPREAD = "key long, line long, n long, docs long, size long"
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leaf, line, n, docs, tokens) to a row for each constant token: its place and its 64 bits."""
+    """(leaf, line, n, docs, tokens) to a row for each constant token, under one key for its leaf, its place and its 64 bits."""
     for batch in batches:
         found = [np.frombuffer(t.as_buffer(), "<u8") for t in batch.column(4)]
         size = np.asarray([len(f) for f in found], dtype=np.int64)
@@ -84,8 +84,11 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.repeat(np.arange(len(size)), size)
         spot = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         keep = flat != 0
-        at = [batch.column(i).to_numpy(zero_copy_only=False)[row[keep]] for i in (0, 1, 2, 3)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, at), pa.array(size[row[keep]]), pa.array(spot[keep].astype(np.int64)), pa.array(flat[keep].astype(np.uint64).view(np.int64))], ["leaf", "line", "n", "docs", "size", "place", "token"])
+        leaf, line, n, docs = (batch.column(i).to_numpy(zero_copy_only=False)[row[keep]] for i in range(4))
+        with np.errstate(over="ignore"):
+            own = mix(flat[keep].astype(np.uint64) ^ mix((spot[keep] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            key = mix(own + leaf.astype(np.int64).view(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (key, line, n, docs, size[row[keep]]))], ["key", "line", "n", "docs", "size"])
 
 
 def _near(found: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -101,9 +104,9 @@ def _near(found: DataFrame, leaves: DataFrame) -> DataFrame:
             leaf = batch.column(0).to_numpy().view(np.uint64)
             spot = leaf & np.uint64((1 << FILTER_BITS) - 1)
             hit = held.value.view(np.uint64)[spot >> np.uint64(6)] >> (leaf & np.uint64(63)) & np.uint64(1)
-            yield batch.filter(pa.array(hit.astype(bool)))
+            yield batch.select(["line", "doc", "tokens"]).filter(pa.array(hit.astype(bool)))
 
-    return found.select("leaf", "line", "doc", "tokens").mapInArrow(run, "leaf long, line long, doc long, tokens binary")
+    return found.select("leaf", "line", "doc", "tokens").mapInArrow(run, "line long, doc long, tokens binary")
 
 
 def templates(found: DataFrame, tokens: DataFrame, least_docs: int, constant: float) -> DataFrame:
@@ -112,20 +115,20 @@ def templates(found: DataFrame, tokens: DataFrame, least_docs: int, constant: fl
     kinds = store(found.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), first))
     leaves = store(kinds.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("lines")).where(F.col("docs") >= least_docs))
     busy = store(kinds.join(leaves.where("lines > 1").select("leaf", "docs"), "leaf").select("leaf", "line", "n", "docs", F.col("first.doc").alias("doc")))
-    own = _near(tokens, leaves.where("lines > 1")).join(busy, ["leaf", "line", "doc"])  # the first document's line; rows may repeat
-    own = own.groupBy("leaf", "line").agg(F.min("n").alias("n"), F.min("docs").alias("docs"), F.min("tokens").alias("tokens"))
-    each = store(own.mapInArrow(_spread, _SPREAD))
+    # the first document's line; rows may repeat, and their group is what the join has already brought together
+    own = _near(tokens, leaves.where("lines > 1")).join(busy, ["line", "doc"]).groupBy("line", "doc").agg(*[F.min(c).alias(c) for c in ("leaf", "n", "docs", "tokens")])
+    each = store(own.select("leaf", "line", "n", "docs", "tokens").mapInArrow(_spread, _SPREAD))
     drop(tokens)
-    common = each.groupBy("leaf", "place", "token").agg(F.sum("n").alias("support"), F.min("docs").alias("docs")).where(F.col("support") >= least_docs)
-    common = store(common.select("leaf", "place", "token", (F.col("support") / F.col("docs")).alias("share")))
+    common = each.groupBy("key").agg(F.sum("n").alias("support"), F.min("docs").alias("docs")).where(F.col("support") >= least_docs)
+    common = store(common.select("key", (F.col("support") / F.col("docs")).alias("share")))
     has = [F.col("share") >= s for s in SHARES]
-    sums = [F.sum(F.when(h, F.xxhash64("place", "token").cast("decimal(20,0)"))).alias(f"sum{k}") for k, h in enumerate(has)]
+    sums = [F.sum(F.when(h, F.xxhash64("key").cast("decimal(20,0)"))).alias(f"sum{k}") for k, h in enumerate(has)]
     kept = [F.count(F.when(h, 1)).alias(f"kept{k}") for k, h in enumerate(has)]
-    held = each.join(common, ["leaf", "place", "token"]).groupBy("leaf", "line").agg(*sums, *kept, F.min("size").alias("size"))
+    held = each.select("key", "line", "size").join(common, "key").groupBy("line").agg(*sums, *kept, F.min("size").alias("size"))
     # what a share leaves constant, a smaller one does too: lines of one template at a share are of one at every larger share
     general = F.coalesce(*[F.when(F.col(f"kept{k}") >= constant * F.col("size"), F.xxhash64(f"sum{k}", f"kept{k}", "size")) for k in range(len(SHARES))])
-    general = store(held.select("leaf", "line", general.alias("template")).where("template is not null"))
-    named = store(kinds.select("leaf", "line", "n", "first").join(general, ["leaf", "line"], "left").withColumn("template", F.coalesce("template", F.xxhash64("line", F.lit("line")))))
+    general = store(held.select("line", general.alias("template")).where("template is not null"))
+    named = store(kinds.select("leaf", "line", "n", "first").join(general, "line", "left").withColumn("template", F.coalesce("template", F.xxhash64("line", F.lit("line")))))
     recurring = store(named.groupBy("leaf", "template").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= least_docs))
     out = store(named.select("leaf", "line", "template").join(recurring, ["leaf", "template"]).select("leaf", "line", "template", "n_docs", "first"))
     for x in (kinds, leaves, busy, each, common, general, named, recurring):
