@@ -10,11 +10,12 @@ before anything is joined, so a very common line is one row and a busy leaf is n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -91,22 +92,21 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*map(pa.array, (key, line, n, docs, size[row[keep]]))], ["key", "line", "n", "docs", "size"])
 
 
-def _near(found: DataFrame, leaves: DataFrame) -> DataFrame:
-    """The rows of all these leaves and few others, by a bit for each value of FILTER_BITS bits of a leaf: at most 8 MB, whatever the data. Tokens of no other line are shuffled."""
-    at = F.col("leaf").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = leaves.select((at / 64).cast("long").alias("word"), F.expr("shiftleft(1L, cast(leaf & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+def _near(keys: DataFrame, key: str) -> Callable[[str], Column]:
+    """A test for long columns: true for every value of `key` and few others, by a bit for each value of FILTER_BITS bits, so at most 8 MB, whatever the data. What fails it needn't be shuffled to be joined with `keys`."""
+    at = F.col(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = keys.select((at / 64).cast("long").alias("word"), F.col(key).bitwiseAND(F.lit(63)).cast("int").alias("spot"))
+    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, spot)")).alias("bits")).toArrow()
     bits = np.zeros(1 << FILTER_BITS - 6, dtype=np.int64)
     bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    held = found.sparkSession.sparkContext.broadcast(bits)
+    held = keys.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            leaf = batch.column(0).to_numpy().view(np.uint64)
-            spot = leaf & np.uint64((1 << FILTER_BITS) - 1)
-            hit = held.value.view(np.uint64)[spot >> np.uint64(6)] >> (leaf & np.uint64(63)) & np.uint64(1)
-            yield batch.select(["line", "doc", "tokens"]).filter(pa.array(hit.astype(bool)))
+    def test(values: pd.Series) -> pd.Series:
+        value = values.to_numpy().view(np.uint64)
+        spot = value & np.uint64((1 << FILTER_BITS) - 1)
+        return pd.Series((held.value.view(np.uint64)[spot >> np.uint64(6)] >> (value & np.uint64(63)) & np.uint64(1)).astype(bool))
 
-    return found.select("leaf", "line", "doc", "tokens").mapInArrow(run, "line long, doc long, tokens binary")
+    return F.pandas_udf(test, "boolean")
 
 
 def templates(found: DataFrame, tokens: DataFrame, least_docs: int, constant: float) -> DataFrame:
@@ -114,9 +114,12 @@ def templates(found: DataFrame, tokens: DataFrame, least_docs: int, constant: fl
     first = F.min(F.struct("doc_id", "doc")).alias("first")
     kinds = store(found.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), first))
     leaves = store(kinds.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("lines")).where(F.col("docs") >= least_docs))
-    busy = store(kinds.join(leaves.where("lines > 1").select("leaf", "docs"), "leaf").select("leaf", "line", "n", "docs", F.col("first.doc").alias("doc")))
+    several = leaves.where("lines > 1").select("leaf", "docs")
+    shared = _near(several, "leaf")
+    busy = store(kinds.where(shared("leaf")).join(several, "leaf").select("leaf", "line", "n", "docs", "first"))
     # the first document's line; rows may repeat, and their group is what the join has already brought together
-    own = _near(tokens, leaves.where("lines > 1")).join(busy, ["line", "doc"]).groupBy("line", "doc").agg(*[F.min(c).alias(c) for c in ("leaf", "n", "docs", "tokens")])
+    own = tokens.where(shared("leaf")).select("line", "doc", "tokens").join(busy.select("leaf", "line", "n", "docs", F.col("first.doc").alias("doc")), ["line", "doc"])
+    own = own.groupBy("line", "doc").agg(*[F.min(c).alias(c) for c in ("leaf", "n", "docs", "tokens")])
     each = store(own.select("leaf", "line", "n", "docs", "tokens").mapInArrow(_spread, _SPREAD))
     drop(tokens)
     common = each.groupBy("key").agg(F.sum("n").alias("support"), F.min("docs").alias("docs")).where(F.col("support") >= least_docs)
@@ -128,7 +131,10 @@ def templates(found: DataFrame, tokens: DataFrame, least_docs: int, constant: fl
     # what a share leaves constant, a smaller one does too: lines of one template at a share are of one at every larger share
     general = F.coalesce(*[F.when(F.col(f"kept{k}") >= constant * F.col("size"), F.xxhash64(f"sum{k}", f"kept{k}", "size")) for k in range(len(SHARES))])
     general = store(held.select("line", general.alias("template")).where("template is not null"))
-    named = store(kinds.select("leaf", "line", "n", "first").join(general, "line", "left").withColumn("template", F.coalesce("template", F.xxhash64("line", F.lit("line")))))
+    # any other line is a template of its own, and recurs by itself or not at all
+    alone = kinds.where(F.col("n") >= least_docs).join(general.select("line"), "line", "left_anti").withColumn("template", F.xxhash64("line", F.lit("line")))
+    parts = ["leaf", "line", "n", "first", "template"]
+    named = store(busy.join(general, "line").select(*parts).union(alone.select(*parts)))
     recurring = store(named.groupBy("leaf", "template").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= least_docs))
     out = store(named.select("leaf", "line", "template").join(recurring, ["leaf", "template"]).select("leaf", "line", "template", "n_docs", "first"))
     for x in (kinds, leaves, busy, each, common, general, named, recurring):
@@ -149,12 +155,16 @@ def dedup(docs: DataFrame, least_docs: int = 3, depth: int = 3, least_tokens: in
     tokens = lines(docs, depth, least_tokens, constant)
     found = store(tokens.select("doc", "doc_id", "leaf", "line"))
     again = templates(found, tokens, least_docs, constant)
-    later = found.join(again.select("leaf", "line", "first"), ["leaf", "line"])
+    later = found.where(_near(again, "line")("line")).join(again.select("leaf", "line", "first"), ["leaf", "line"])
     later = later.where(~F.struct("doc_id", "doc").eqNullSafe(F.col("first")))
     drops = store(later.groupBy("doc").agg(F.collect_set("line").alias("__drop")))  # one document's lines at most
     rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     packed = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.struct(*rest).alias("__rest"), F.col("text").cast("string").alias("text"))
-    met = packed.join(drops, "doc", "left").select("__rest", "text", "__drop")
+    loses = _near(drops, "doc")
+    met = packed.where(loses("doc")).join(drops, "doc", "left").select("__rest", "text", "__drop")
+    # texts that lose nothing stay where they are
+    total = F.when(F.col("text") != "", F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).otherwise(0)
+    whole = packed.where(~loses("doc")).select("__rest", "text", total.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,5 +184,5 @@ def dedup(docs: DataFrame, least_docs: int = 3, depth: int = 3, least_tokens: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["__rest", "text", "n_lines", "n_dropped"])
 
     kind = met.schema["__rest"].dataType.simpleString()
-    out = met.mapInArrow(run, f"__rest {kind}, text string, n_lines long, n_dropped long")
+    out = met.mapInArrow(run, f"__rest {kind}, text string, n_lines long, n_dropped long").union(whole)
     return out.select(*[F.col(f"__rest.`{c}`").alias(c) if c != "text" else F.col("text") for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
