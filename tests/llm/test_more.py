@@ -77,6 +77,18 @@ def test_line_templates(spark):
     assert line_templates.dedup(table.limit(0)).count() == 0
 
 
+def test_line_templates_with_a_full_filter(spark, monkeypatch):
+    """A bit filter that rules nothing out gives the same result as one that rules out nearly all."""
+    texts = [f"posted by user{k % 7} in the main forum\nown line number of {chr(97 + k)} {chr(98 + k)} {chr(99 + k)}" for k in range(12)]
+    rows = [(k, t) for k, t in enumerate([*texts, None, "", "one\n", texts[0]])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    sparse = sorted(map(tuple, line_templates.dedup(table).collect()))
+    monkeypatch.setattr(line_templates, "FILTER_BITS", 6)
+    assert sorted(map(tuple, line_templates.dedup(table).collect())) == sparse
+    assert [r[2] for r in sparse] == [len(t.split("\n")) if t else 0 for _, t in rows]
+    assert sum(r[3] for r in sparse) > 0
+
+
 def test_busy_leaf_with_wordy_fields(spark):
     words = [f"{a}{b}{c}{d}" for a in "bcdfghklmn" for b in "aeiouyjqvx" for c in "aeioubcdfghklmnprstvwzxyjq" for d in "aeioubcdfghklmnprstvwzxyjq"]
     codes = defaultdict(list)
