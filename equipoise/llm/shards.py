@@ -1,8 +1,9 @@
 """Sharding by sampled splitters, under the law `bytes`: shards hold near equal numbers of bytes.
 
 Keys are drawn with a chance in proportion to their row's size; their quantiles cut the key space into
-many more ranges than shards. Rows are ranged, ranges that turned out overfull are subdivided, and
-exact prefix sums over the ranges tell where each shard ends.
+several ranges a shard, as many at every size of the table. A range of many rows is cut by equal steps of the
+key, what is still overfull is subdivided by row, and exact prefix sums over all of these tell where each
+shard ends.
 """
 
 from __future__ import annotations
@@ -29,13 +30,25 @@ def range_of(key: Column, splitters: list[int]) -> Column:
     return F.least(found, least)
 
 
+def _cell(splitters: list[int], steps: list[int]) -> Column:
+    """The number of a row's cell in the order of keys: its range (`found`) is cut into equal steps between its two splitters."""
+    low = [-(1 << 63), *splitters]
+    width = [float(b - a) for a, b in zip(low, [*splitters, 1 << 63], strict=True)]
+    first = [sum(steps[:i]) for i in range(len(steps))]
+    own = lambda values, kind: F.element_at(numbers(values, kind), F.col("found") + 1)
+    share = (F.col("key").cast("double") - own([float(x) for x in low], "double")) / own(width, "double")
+    step = F.floor(share * own(steps, "bigint"))
+    return (own(first, "bigint") + F.least(F.greatest(step, F.lit(0)), own(steps, "bigint") - 1)).cast("long")
+
+
 def shard(docs: DataFrame, shards: int = 40, seed: int = 29, ranges_per_shard: int = 16, sample_per_range: int = 16, range_rows: int = 200_000) -> DataFrame:
     """doc_id, size, text_crc32, shard (0 to shards - 1) and slot (gapless from 0 in each shard) for all documents.
 
     Size: UTF-8 bytes of the text (null: none) plus 16. The key is the hash of the text, ties by doc_id, so
     equal texts are neighbours and only a group that meets the end of a shard, or is larger than one, lies
     in two. A shard ends within half a row of its share. The sample has some `sample_per_range` keys for
-    each range; ranges grow with the rows, `range_rows` a range, and a range of more than twice its share
+    each of `shards * ranges_per_shard` ranges, and the driver sees no more than these and one row for each range.
+    A range is cut in steps of its keys, a step for each `range_rows` rows; one of more than twice its share
     of rows or bytes, such as one text that a third of all rows have, is subdivided by the hash of the
     row's id and place.
     The crc32 of a null text is that of an empty one. Null and repeated doc_ids are rows
@@ -53,22 +66,20 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 29, ranges_per_shard: i
     total = rows.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).head()
     if not total["rows"]:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    ranges = max(shards * ranges_per_shard, -(-total["rows"] // range_rows))
+    ranges = shards * ranges_per_shard
     chance = F.col("size") * (ranges * sample_per_range / total["bytes"])
     drawn = sorted(r["key"] for r in rows.where(unit(F.lit(seed), "place") < chance).select("key").collect())  # about ranges * sample_per_range numbers
     splitters = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else []
-    ranged = store(rows.withColumn("range", range_of(F.col("key"), splitters)))
+    found = range_of(F.col("key"), splitters)
+    held = {r["range"]: r["rows"] for r in rows.groupBy(found.alias("range")).agg(F.count(F.lit(1)).alias("rows")).collect()}  # at most `ranges` numbers
+    steps = [max(1, -(-held.get(i, 0) // range_rows)) for i in range(len(splitters) + 1)]
+    cells = sum(steps)
+    ranged = store(rows.withColumn("found", found).withColumn("range", _cell(splitters, steps)).drop("found"))
     held = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-    fair_bytes, fair_rows = total["bytes"] / ranges, total["rows"] / ranges
-    parts = F.ceil(F.greatest(F.col("bytes") / fair_bytes, F.col("rows") / fair_rows)).cast("int")
-    over = {r["range"]: r["parts"] for r in held.select("range", F.when(parts > 2, parts).otherwise(1).alias("parts")).where("parts > 1").collect()}  # some ranges
-    divided = F.lit(1)
-    if over:
-        found = sorted(over)
-        at = range_of(F.col("range").cast("long"), found)
-        divided = F.when(F.col("range").isin(found), F.element_at(numbers([over[r] for r in found], "int"), F.greatest(at, F.lit(1)))).otherwise(F.lit(1))
-    sub = F.floor(unit(F.lit(seed + 1), "doc_id", "place") * divided).cast("int")
-    dealt = store(ranged.withColumn("sub", sub))
+    parts = F.ceil(F.greatest(F.col("bytes") / (total["bytes"] / cells), F.col("rows") / (total["rows"] / cells))).cast("int")
+    parts = store(held.select("range", F.when(parts > 2, parts).otherwise(1).alias("parts")))  # stored, so the planner sees how few rows these are
+    sub = F.floor(unit(F.lit(seed + 1), "doc_id", "place") * F.col("parts")).cast("int")
+    dealt = store(ranged.join(parts, "range").select("doc_id", "size", "text_crc32", "key", "place", "range", sub.alias("sub")))
     # where each range starts: a row for each range and part of one, in the order of the shards
     each = dealt.groupBy("range", "sub").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"))
     block = F.floor(F.col("range") / 256)

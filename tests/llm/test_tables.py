@@ -75,6 +75,21 @@ def test_shards_equal_bytes_and_gapless_slots(spark, docs):
     assert shards.shard(docs.limit(0)).count() == 0
 
 
+def test_ranges_of_many_rows_are_cut(spark):
+    """Ranges cut in steps of the key keep the order of keys: a text lies in one shard, or two that meet; only the hot one in more."""
+    out = shards.shard(many(spark), shards=8, ranges_per_shard=1, range_rows=20).collect()
+    by, where = defaultdict(list), defaultdict(set)
+    for r in out:
+        by[r.shard].append(r)
+        where[r.text_crc32].add(r.shard)
+    assert len(out) == 3000 and all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in by.values())
+    share, largest = sum(r["size"] for r in out) / 8, max(r["size"] for r in out)
+    assert all(abs(sum(r["size"] for r in by[k]) - share) <= largest for k in range(8))
+    hot = zlib.crc32(("hot text " * 20).encode())
+    assert all(max(s) - min(s) <= 1 for crc, s in where.items() if crc != hot)
+    assert sorted(where[hot]) == list(range(min(where[hot]), max(where[hot]) + 1))
+
+
 def fair(sizes, share=1.5, weights=(5, 2, 1), most=2):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
