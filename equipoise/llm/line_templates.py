@@ -109,14 +109,14 @@ def _near(keys: DataFrame, key: str) -> Callable[[str], Column]:
     return F.pandas_udf(test, "boolean")
 
 
-def templates(found: DataFrame, tokens: DataFrame, least_docs: int, constant: float) -> DataFrame:
-    """Stored (leaf, line, template, n_docs, first): lines whose template `least_docs` documents or more have, and the first of these; `tokens`, the lines with these, is dropped once it is read."""
+def templates(found: DataFrame, tokens: DataFrame, least_docs: int, constant: float, passage_docs: int) -> DataFrame:
+    """Stored (leaf, line, template, n_docs, first): lines whose template `least_docs` documents or more have, or that are passages and in `passage_docs`, and the first of these; `tokens`, the lines with these, is dropped once it is read."""
     first = F.min(F.struct("doc_id", "doc")).alias("first")
-    kinds = store(found.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), first))
+    kinds = store(found.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), first, F.max("passage").alias("passage")))
     leaves = store(kinds.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("lines")).where(F.col("docs") >= least_docs))
     several = leaves.where("lines > 1").select("leaf", "docs")
     shared = _near(several, "leaf")
-    busy = store(kinds.where(shared("leaf")).join(several, "leaf").select("leaf", "line", "n", "docs", "first"))
+    busy = store(kinds.where(shared("leaf")).join(several, "leaf").select("leaf", "line", "n", "docs", "first", "passage"))
     # the first document's line; rows may repeat, and their group is what the join has already brought together
     own = tokens.where(shared("leaf")).select("line", "doc", "tokens").join(busy.select("leaf", "line", "n", "docs", F.col("first.doc").alias("doc")), ["line", "doc"])
     own = own.groupBy("line", "doc").agg(*[F.min(c).alias(c) for c in ("leaf", "n", "docs", "tokens")])
@@ -132,29 +132,31 @@ def templates(found: DataFrame, tokens: DataFrame, least_docs: int, constant: fl
     general = F.coalesce(*[F.when(F.col(f"kept{k}") >= constant * F.col("size"), F.xxhash64(f"sum{k}", f"kept{k}", "size")) for k in range(len(SHARES))])
     general = store(held.select("line", general.alias("template")).where("template is not null"))
     # any other line is a template of its own, and recurs by itself or not at all
-    alone = kinds.where(F.col("n") >= least_docs).join(general.select("line"), "line", "left_anti").withColumn("template", F.xxhash64("line", F.lit("line")))
-    parts = ["leaf", "line", "n", "first", "template"]
+    often = (F.col("n") >= least_docs) | F.col("passage") & (F.col("n") >= passage_docs)
+    alone = kinds.where(often).join(general.select("line"), "line", "left_anti").withColumn("template", F.xxhash64("line", F.lit("line")))
+    parts = ["leaf", "line", "n", "first", "template", "passage"]
     named = store(busy.join(general, "line").select(*parts).union(alone.select(*parts)))
-    recurring = store(named.groupBy("leaf", "template").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= least_docs))
+    recurring = store(named.groupBy("leaf", "template").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first"), F.max(often).alias("often")).where((F.col("n_docs") >= least_docs) | F.col("often")))
     out = store(named.select("leaf", "line", "template").join(recurring, ["leaf", "template"]).select("leaf", "line", "template", "n_docs", "first"))
     for x in (kinds, leaves, busy, each, common, general, named, recurring):
         drop(x)
     return out
 
 
-def dedup(docs: DataFrame, least_docs: int = 3, depth: int = 3, least_tokens: int = 3, constant: float = 0.7) -> DataFrame:
+def dedup(docs: DataFrame, least_docs: int = 3, depth: int = 3, least_tokens: int = 3, constant: float = 0.7, passage_tokens: int = 51, passage_docs: int = 2) -> DataFrame:
     """docs with recurring lines dropped from text, and n_lines, n_dropped (long).
 
     A line has `least_tokens` tokens or more, at least `constant` of them without a digit. A template keeps
-    at least `constant` of a line's tokens, those that `least_docs` documents and one of SHARES of its leaf's have, and recurs if `least_docs` documents or more have it; the document with
+    at least `constant` of a line's tokens, those that `least_docs` documents and one of SHARES of its leaf's have, and recurs if `least_docs` documents or more have it, or if `passage_docs` have a line of it
+    that has `passage_tokens` tokens or more and is the same but for tokens with a digit; the document with
     the smallest doc_id (null first) keeps its lines of that template, so nothing is lost from the
     corpus as a whole. A null text stays null, an empty one empty; neither has lines. Rows that repeat
     doc_id and text count as documents and are treated alike. Columns named n_lines or n_dropped give
     way, others stay. An empty table gives no rows.
     """
     tokens = lines(docs, depth, least_tokens, constant)
-    found = store(tokens.select("doc", "doc_id", "leaf", "line"))
-    again = templates(found, tokens, least_docs, constant)
+    found = store(tokens.select("doc", "doc_id", "leaf", "line", (F.octet_length("tokens") >= 8 * passage_tokens).alias("passage")))
+    again = templates(found, tokens, least_docs, constant, passage_docs)
     later = found.where(_near(again, "line")("line")).join(again.select("leaf", "line", "first"), ["leaf", "line"])
     later = later.where(~F.struct("doc_id", "doc").eqNullSafe(F.col("first")))
     drops = store(later.groupBy("doc").agg(F.collect_set("line").alias("__drop")))  # one document's lines at most

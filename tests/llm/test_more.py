@@ -35,15 +35,17 @@ def plain_dedup(rows, least=3, depth=3, least_tokens=3, constant=0.7):
         for x in xs:
             y = tuple(w if w != "<*>" and support[i, w] >= least else "<*>" for i, w in enumerate(x))
             template[x] = y if len(xs) > 1 and sum(w != "<*>" for w in y) >= constant * len(y) else ("line", x)
-    recurs = Counter()
+    recurs, passage = Counter(), set()
     for k, t in rows:
         for x in {y for line in (t or "").split("\n") if (y := toks(line))}:
             recurs[leaf(x), template[x]] += 1
+            if len(x) > 50 and docs[x] >= 2:
+                passage.add((leaf(x), template[x]))
             f = (leaf(x), template[x])
             first[f] = min(first.get(f, k), k)
     out = {}
     for k, t in rows:
-        keep = [line for line in t.split("\n") if not ((x := toks(line)) and recurs[leaf(x), template[x]] >= least and first[leaf(x), template[x]] != k)] if t else None
+        keep = [line for line in t.split("\n") if not ((x := toks(line)) and (recurs[leaf(x), template[x]] >= least or (leaf(x), template[x]) in passage) and first[leaf(x), template[x]] != k)] if t else None
         out[k] = t if keep is None else "\n".join(keep)
     return out
 
@@ -77,6 +79,17 @@ def test_line_templates(spark):
     assert line_templates.dedup(table.limit(0)).count() == 0
 
 
+def test_passages_of_two_documents(spark):
+    """A line of over 50 words goes where a second document has it, in a busy leaf too; one of 50 words, or with another word, stays."""
+    say = lambda n, tail: " ".join(["Once more we say", *[f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n - 5)], tail])
+    rows = [(k, f"{line}\nown line {chr(97 + k)} of this") for k, line in enumerate([say(51, "end"), say(51, "end"), say(50, "end"), say(50, "end"), say(60, "one"), say(60, "two"), say(3000, "end"), say(3000, "end")])]
+    other = lambda tail: "Once more we say " + " ".join(tail + chr(97 + i % 26) + chr(97 + i // 26) for i in range(47))
+    rows += [(20 + k, other(t)) for k, t in enumerate(["x", "x", "y", "z", "q"])]
+    got = {r.doc_id: r.text for r in line_templates.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_dedup(rows)
+    assert {k for k, t in rows if got[k] != t} == {1, 7, 21}
+
+
 def test_line_templates_with_a_full_filter(spark, monkeypatch):
     """A bit filter that rules nothing out gives the same result as one that rules out nearly all."""
     texts = [f"posted by user{k % 7} in the main forum\nown line number of {chr(97 + k)} {chr(98 + k)} {chr(99 + k)}" for k in range(12)]
