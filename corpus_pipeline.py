@@ -28,10 +28,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; one of which nothing else is left goes.
 
-    A document that loses no line stays as it is, null and empty texts too; n_chars is counted anew where lines
+    Passages that just two documents share stay here: most are in near copies, which the next stage takes whole, where
+    this one would leave the lines in which they differ. A document that loses no line stays as it is, null and empty texts too; n_chars is counted anew where lines
     went. Repeated rows are treated alike. Columns other than those of documents are left out. An empty table gives no rows.
     """
-    out = line_templates.dedup(docs.select(*COLUMNS))
+    out = line_templates.dedup(docs.select(*COLUMNS), passage_docs=3)
     left = (F.col("n_dropped") == 0) | F.col("text").rlike(WORD)
     return out.where(left).select("doc_id", "text", "lang", "source", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
